@@ -1,0 +1,39 @@
+"""Connected components of a link table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from helixframe.llm.common import cut
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 30)))).first())
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node of links; component is the smallest node that can be reached.
+
+    Rounds end when a round changes no link, O(log^2 n) of them at most. Each is two aggregations (combined before
+    the shuffle) and two joins on the node, whose hot keys Spark splits; links of a round are written to the shared
+    checkpoint folder. Null ends and links from a node to itself are ignored; an empty table gives an empty result.
+    """
+    hi, lo = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
+    now = cut(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(hi.alias("hi"), lo.alias("lo")).distinct())
+    state = _state(now)
+    while state[0]:
+        # Large star: every greater neighbour of a node is linked to the smallest of the node and its neighbours.
+        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        # Small star: a node and its smaller neighbours are linked to the smallest of them.
+        smallest = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        pairs = large.join(smallest, "hi")
+        small = pairs.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(smallest.select("hi", F.col("m").alias("lo"))).distinct()
+        then = cut(small)
+        after = _state(then)
+        now, ended, state = then, after == state, after
+        if ended:
+            break
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
