@@ -75,26 +75,27 @@ WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 s AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM w),
 k AS (SELECT doc_id, start, array_to_string(words[start:start + 19], ' ') AS seq FROM s),
 r AS (SELECT doc_id, start FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY doc_id, start) AS n FROM k) WHERE n > 1),
-gone AS (SELECT DISTINCT doc_id, start + j AS at FROM r, range(20) AS t(j)),
-one AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM w),
-kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS text FROM one ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id)
+gone AS (SELECT DISTINCT doc_id, start + j AS pos FROM r, range(20) AS t(j)),
+one AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM one ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 _OP6 = rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
-p AS (SELECT doc_id, unnest(words) AS c, unnest([NULL] || words[:-2]) AS b, unnest([NULL, NULL] || words[:-3]) AS a FROM w WHERE len(words) > 0),
+q AS (SELECT doc_id, unnest(words) AS c, unnest([NULL] || words[:-2]) AS b, unnest([NULL, NULL] || words[:-3]) AS a FROM w WHERE len(words) > 0),
+p AS (SELECT * FROM q WHERE c IS NOT NULL),
 n1 AS (SELECT c AS x, count(*) AS n FROM p GROUP BY c),
 n2 AS (SELECT b AS x, c AS y, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY ALL),
 n3 AS (SELECT a AS x, b AS y, c AS z, count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY ALL),
-total AS (SELECT sum(n) AS n FROM n1),
+total AS (SELECT sum(n)::DOUBLE AS n FROM n1),
 s AS (
   SELECT doc_id, CASE
-    WHEN n3.n >= 2 THEN ln(n3.n / ctx.n)
-    ELSE (CASE WHEN a IS NULL THEN 0 ELSE ln(0.4) END) + CASE
-      WHEN n2.n >= 2 THEN ln(n2.n / one.n)
-      ELSE (CASE WHEN b IS NULL THEN 0 ELSE ln(0.4) END) + ln(n1.n / total.n) END END AS l
+    WHEN n3.n >= 2 THEN ln(n3.n::DOUBLE / ctx.n)
+    ELSE (CASE WHEN a IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END) + CASE
+      WHEN n2.n >= 2 THEN ln(n2.n::DOUBLE / one.n)
+      ELSE (CASE WHEN b IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END) + ln(n1.n::DOUBLE / total.n) END END AS l
   FROM p CROSS JOIN total JOIN n1 ON n1.x = c LEFT JOIN n1 AS one ON one.x = b LEFT JOIN n2 ON n2.x = b AND n2.y = c
   LEFT JOIN n2 AS ctx ON ctx.x = a AND ctx.y = b LEFT JOIN n3 ON n3.x = a AND n3.y = b AND n3.z = c)
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, round(coalesce(l, 0), 4) AS log_score, round(l / len(w.words), 4) AS mean_log_score
@@ -125,10 +126,10 @@ f AS (SELECT w.doc_id, lang, len(words)::BIGINT AS n_words, length(array_to_stri
 v AS (SELECT *, {", ".join(f"{e} AS {m}" for m, e in share.items())} FROM f),
 steps AS ({steps}),
 held AS (SELECT * FROM v WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-lost AS (SELECT lang, m, c, count(*) AS n, count_if({value} > c) AS k FROM held, steps GROUP BY ALL),
+lost AS (SELECT lang, m, c, count(*) AS n, count_if({value} > c)::BIGINT AS k FROM held, steps GROUP BY ALL),
 level AS (SELECT {error} / (count(DISTINCT coalesce(lang, '')) * {len(ladders)}) AS e FROM held),
 cuts AS (SELECT lang, m, min(c) AS cut FROM lost, level WHERE k < n * {rate} AND
-  list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate}) + (n - j) * ln(1 - {rate})))) <= e GROUP BY ALL),
+  list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate}::DOUBLE) + (n - j) * ln(1 - {rate}::DOUBLE)))) <= e GROUP BY ALL),
 b AS (SELECT lang AS of, {bounds} FROM cuts GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT ({above}) AS kept
