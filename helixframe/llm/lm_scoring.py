@@ -25,8 +25,8 @@ from helixframe.llm.common import cut, n_partitions, rows_of, spread
 from helixframe.llm.packs import Pack, packs
 from helixframe.llm.spans import mixed, window_hashes
 
-#: Larger packs repeat themselves more, so that fewer n-grams are sent; hash buckets of each reducing task.
-PACK_BYTES, BUCKETS_A_TASK = 1 << 22, 4
+#: Larger packs repeat themselves more, so that fewer n-grams are sent.
+PACK_BYTES = 1 << 22
 SENT = "bucket long, pack_id long, step int, part long, n long, keys binary, counts binary"
 ANSWER = "pack_id long, step int, part long, counts binary"
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -204,7 +204,7 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.
     if order < 2:
         raise ValueError("order must be 2 or more")
     parts = n_partitions(docs.sparkSession)
-    buckets = BUCKETS_A_TASK * parts
+    buckets = parts
     held = packs(docs, id_col, text_col, PACK_BYTES)
     by_pack = held.groupBy("pack_id")
     answers = spread(held.mapInArrow(_first(buckets, min_count), SENT), parts, "bucket").mapInArrow(_met, ANSWER)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import n_partitions, texts_of
 from helixframe.llm.spans import Texts
 
-PACK_BYTES = 1 << 18
+PACK_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 

@@ -10,7 +10,8 @@ that starts, in both documents, at a cover position. Only |D| of every v positio
 3. words under repeats are removed.
 
 Each pack first settles what it can by itself and sends one anchor or window of a kind, so the hashes of a passage that a
-third of all documents hold arrive as one row a pack. Buckets of hashes are sorted and read one after another.
+third of all documents hold arrive as one row a pack. A reducing task holds its range of hashes, some 40 bytes for each anchor or
+window sent to it: spark.sql.shuffle.partitions bounds it.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from helixframe.llm.spans import window_hashes
 
 #: Perfect difference covers, by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-#: Hash buckets for each reducing task; they are read one at a time.
-BUCKETS_A_TASK = 8
 SENT = "bucket long, pack_id long, settled boolean, keys binary, keys2 binary, pos binary, docs binary"
 ANSWER = "pack_id long, pos binary"
 
@@ -226,7 +225,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     if window < 2:
         raise ValueError("window must be 2 or more")
     parts = n_partitions(docs.sparkSession)
-    buckets = BUCKETS_A_TASK * parts
+    buckets = parts  # one a task: a pack sends at most a row to each
     held = packs(docs, id_col, text_col)
     shared = spread(held.mapInArrow(_anchors(window, buckets), SENT), parts, "bucket").mapInArrow(_meet_anchors, ANSWER)
     by_pack = held.groupBy("pack_id")
