@@ -8,7 +8,8 @@ Tables of order 2 and more hold n-grams that occur min_count times or more: what
 evidence for it. Documents travel in packs. Each pack sends the different n-grams it holds, as sorted hashes with counts, to
 the partition of their hash range; there they meet, are counted, and the counts go back to the packs in the same
 order, where each document's n-grams are joined to them and summed. An n-gram of order 3 or more is sent only if both
-its parts of the order below are in the table, as it can't be otherwise.
+its parts of the order below are in the table, as it can't be otherwise, and occur in other packs too, as its own
+count is known otherwise.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from helixframe.llm.packs import Pack, packs
 from helixframe.llm.spans import mixed, window_hashes
 
 #: Larger packs repeat themselves more, so that fewer n-grams are sent.
-PACK_BYTES = 1 << 22
-SENT = "bucket long, pack_id long, step int, part long, n long, keys binary, counts binary"
-ANSWER = "pack_id long, step int, part long, counts binary"
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+PACK_BYTES = 1 << 23
+SENT = "bucket long, pack_id long, part long, n long, keys binary, counts binary"
+ANSWER = "pack_id long, part long, counts binary"
+_KINDS = {"long": pa.int64(), "binary": pa.binary()}
 
 
 def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
@@ -54,89 +55,99 @@ def keys_in(raw: bytes) -> np.ndarray:
 
 
 def numbers_out(n: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(n.astype("<u4").tobytes())
+    """Numbers under 2^32, as four planes of bytes of which the upper ones are nearly empty."""
+    return zstandard.ZstdCompressor(level=1).compress(n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def numbers_in(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u4").astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+class Asked:
+    """Different keys of some places, ascending; what each occurs here; which of them other packs may hold."""
+
+    def __init__(self, keys: np.ndarray, remote: np.ndarray | None = None) -> None:
+        self.keys, self.which = np.unique(keys, return_inverse=True)
+        self.times = np.bincount(self.which, minlength=len(self.keys))
+        self.remote = np.ones(len(self.keys), bool)
+        if remote is not None:
+            self.remote[self.which] = remote
+
+    def at_places(self, answer: np.ndarray) -> np.ndarray:
+        total = self.times.copy()
+        total[self.remote] = answer
+        return total[self.which]
 
 
 class Grams:
-    """The n-grams of a pack, by order: keys at each word (0 where a document ends too soon)."""
+    """The n-grams of a pack: keys at each word, by order (0 where a document ends too soon), and their counts, in this pack
+    and in the corpus."""
 
     def __init__(self, pack: Pack, order: int) -> None:
         self.words = pack.texts.hashes()
         self.rel, self.count = pack.texts.place()
-        self.keys = {}
+        self.keys, self.here, self.total = {}, {}, {}
         for n in range(1, order + 1):
             keys = np.zeros(len(self.words), np.uint64)
             if len(keys) >= n:
                 keys[: len(keys) - n + 1] = mixed(window_hashes(self.words, n) + np.uint64(n)) | np.uint64(1)
             self.keys[n] = np.where(self.count - self.rel >= n, keys, np.uint64(0))
 
-    def wanted(self, step: int, counts: dict[int, np.ndarray], min_count: int) -> np.ndarray:
-        """Different keys that step asks for, ascending. Step 2 is for words and pairs."""
+    def ask(self, step: int, min_count: int) -> tuple[Asked, np.ndarray]:
+        """What step asks for, and at which words; step 2 is for words and pairs, others need the counts of the last."""
         if step == 2:
-            both = np.concatenate((self.keys[1], self.keys[2]))
-            return np.unique(both[both > 0])
-        keys, lower = self.keys[step], counts[step - 1] >= min_count
-        hopeful = (keys > 0) & lower & np.append(lower[1:], False)
-        return np.unique(keys[hopeful])
-
-    def looked_up(self, asked: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
-        """Counts of the n-grams at each word, 0 for those not asked for."""
-        at = np.minimum(np.searchsorted(asked, self.keys[n]), max(0, len(asked) - 1))
-        return np.where(asked[at] == self.keys[n], found[at], 0) if len(asked) else np.zeros(len(self.words), np.int64)
-
-
-def _counted(grams: Grams, answers: list[tuple[int, int, bytes]], steps: Iterable[int], min_count: int) -> dict[int, np.ndarray]:
-    counts: dict[int, np.ndarray] = {}
-    for step in steps:
-        asked = grams.wanted(step, counts, min_count)
-        found = np.concatenate([np.zeros(0, np.int64), *(numbers_in(c) for s, _, c in sorted(answers) if s == step)])
-        for n in (1, 2) if step == 2 else (step,):
-            counts[n] = grams.looked_up(asked, found, n)
-    return counts
-
-
-def _sends(number: int, body: bytes, answers: list[tuple[int, int, bytes]], step: int, buckets: int, min_count: int) -> list[tuple]:
-    grams = Grams(Pack(body), step)
-    keys = grams.wanted(step, _counted(grams, answers, range(2, step), min_count), min_count)
-    every = np.concatenate((grams.keys[1], grams.keys[2])) if step == 2 else grams.keys[step]
-    at = np.searchsorted(keys, every)
-    at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == every)] if len(keys) else at[:0]
-    times = np.bincount(at, minlength=len(keys))
-    rows = [(number % buckets, number, s, p, 0, None, c) for s, p, c in answers]  # what is known travels along
-    home = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    edges = np.searchsorted(home, np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        part = slice(edges[b], edges[b + 1])
-        rows.append((b, number, step, b, int(edges[b + 1] - edges[b]), keys_out(keys[part]), numbers_out(times[part])))
-    return rows
-
-
-def _first(buckets: int, min_count: int) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, body in rows_of(batches):
-            yield _batch(_sends(number, body, [], 2, buckets, min_count), SENT)
+            pairs = np.flatnonzero(self.keys[2])
+            return Asked(np.concatenate((self.keys[1], self.keys[2][pairs]))), pairs
+        lower, elsewhere = self.total[step - 1] >= min_count, self.total[step - 1] > self.here[step - 1]
+        after = lambda x: np.append(x[1:], np.zeros(min(1, len(x)), bool))
+        places = np.flatnonzero((self.keys[step] > 0) & lower & after(lower))
+        return Asked(self.keys[step][places], (elsewhere & after(elsewhere))[places]), places
+
+    def learn(self, step: int, answer: np.ndarray, min_count: int) -> None:
+        asked, places = self.ask(step, min_count)
+        total, here, n = asked.at_places(answer), asked.times[asked.which], len(self.words)
+        if step == 2:
+            self.total[1], self.here[1] = total[:n], here[:n]
+            total, here = total[n:], here[n:]
+        for table, x in ((self.total, total), (self.here, here)):
+            table[step] = np.zeros(n, np.int64)
+            table[step][places] = x
 
-    return run
 
+def _known(grams: Grams, answers: list[list[tuple[int, bytes]]], min_count: int) -> None:
+    for step, found in enumerate(answers, 2):
+        grams.learn(step, np.concatenate([np.zeros(0, np.int64), *(numbers_in(c) for _, c in sorted(found or []))]), min_count)
 
-def _known(answers: pa.Table) -> list[tuple[int, int, bytes]]:
-    return list(zip(*(answers.column(n).to_pylist() for n in ("step", "part", "counts")), strict=True))
 
+def _sends(step: int, buckets: int, min_count: int) -> Callable:
+    """Rows for each bucket; the batch holds pack_id, body and the answers to each step before."""
 
-def _further(step: int, buckets: int, min_count: int) -> Callable:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        for number, body in zip(left.column("pack_id").to_pylist(), left.column("body").to_pylist(), strict=True):
-            rows += _sends(number, body, _known(right), step, buckets, min_count)
-        return pa.Table.from_batches([_batch(rows, SENT)])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, body, *answers in _packs_of(batches):
+            grams = Grams(Pack(body), step)
+            _known(grams, answers, min_count)
+            asked, _ = grams.ask(step, min_count)
+            keys, times = asked.keys[asked.remote], asked.times[asked.remote]
+            home = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            edges = np.searchsorted(home, np.arange(buckets + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                part = slice(edges[b], edges[b + 1])
+                rows.append((b, number, b, int(edges[b + 1] - edges[b]), keys_out(keys[part]), numbers_out(times[part])))
+            yield _batch(rows, SENT)
 
     return run
 
 
+def _packs_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Packs one by one, with lists of (part, counts)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            number, body, *answers = (c[k].as_py() for c in batch.columns)
+            yield number, body, *([(x["part"], x["counts"]) for x in a or []] for a in answers)
+
+
 def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Total counts of each bucket's keys, for each pack that sent them."""
 
@@ -151,45 +162,41 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which[order] = np.cumsum(new) - 1
         total = np.bincount(which, weights=times).astype(np.int64)[which]
         ends = np.cumsum([n for *_, n, _, _ in held])
-        return [(number, step, part, numbers_out(np.minimum(t, 0xFFFFFFFF))) for (_, number, step, part, *_), t in zip(held, np.split(total, ends[:-1]), strict=True)]
+        return [(number, part, numbers_out(np.minimum(t, 0xFFFFFFFF))) for (_, number, part, *_), t in zip(held, np.split(total, ends[:-1]), strict=True)]
 
     held, now = [], None
     for row in rows_of(batches):
         if row[0] != now:
             yield _batch(totals(held), ANSWER)
             held, now = [], row[0]
-        if row[5] is None:
-            yield _batch([(row[1], row[2], row[3], row[6])], ANSWER)
-        else:
-            held.append(row)
+        held.append(row)
     yield _batch(totals(held), ANSWER)
 
 
 def _scored(order: int, min_count: int, alpha: float) -> Callable:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, sums, plain, sizes = [], [], [], []
-        for body in left.column("body").to_pylist():
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, body, *answers in _packs_of(batches):
             pack = Pack(body)
             grams = Grams(pack, order)
-            counts = _counted(grams, _known(right), range(2, order + 1), min_count)
-            n_words = len(grams.words)
+            _known(grams, answers, min_count)
+            n_words, counts = len(grams.words), grams.total
             log = np.log(np.maximum(counts[1], 1))  # less the logarithm of the corpus size, where no n-gram is found
             bare = np.ones(n_words, bool)
             for n in range(2, order + 1):
                 able = grams.rel >= n - 1
                 times = np.zeros(n_words, np.int64)
                 under = np.ones(n_words, np.int64)
-                times[n - 1 :] = counts[n][: n_words - n + 1]
-                under[n - 1 :] = counts[n - 1][: n_words - n + 1]
+                if n_words >= n:
+                    times[n - 1 :] = counts[n][: n_words - n + 1]
+                    under[n - 1 :] = counts[n - 1][: n_words - n + 1]
                 hit = able & (times >= min_count)
                 log = np.where(hit, np.log(np.maximum(times, 1) / np.maximum(under, 1)), np.where(able, log + np.log(alpha), log))
                 bare &= ~hit
-            total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[pack.texts.first])  # noqa: B023, E731
-            ids += pack.id_list()
-            sums += [float(log[a:b].sum()) for a, b in zip(pack.texts.first[:-1].tolist(), pack.texts.first[1:].tolist(), strict=True)]
-            plain += total(bare).tolist()
-            sizes += pack.texts.count.tolist()
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(sizes, pa.int64()), "n_bare": pa.array(plain, pa.int64()), "part": pa.array(sums, pa.float64())})
+            first = pack.texts.first.tolist()
+            plain = np.diff(np.concatenate(([0], np.cumsum(bare)))[pack.texts.first])
+            sums = [float(log[a:b].sum()) for a, b in zip(first[:-1], first[1:], strict=True)]
+            columns = [pa.array(pack.id_list(), pa.int64()), pa.array(pack.texts.count, pa.int64()), pa.array(plain, pa.int64()), pa.array(sums, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_bare", "part"])
 
     return run
 
@@ -206,12 +213,11 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.
     parts = n_partitions(docs.sparkSession)
     buckets = parts
     held = packs(docs, id_col, text_col, PACK_BYTES)
-    by_pack = held.groupBy("pack_id")
-    answers = spread(held.mapInArrow(_first(buckets, min_count), SENT), parts, "bucket").mapInArrow(_met, ANSWER)
-    for step in range(3, order + 1):
-        sent = by_pack.cogroup(answers.groupBy("pack_id")).applyInArrow(_further(step, buckets, min_count), SENT)
-        answers = spread(sent, parts, "bucket").mapInArrow(_met, ANSWER)
-    found = cut(by_pack.cogroup(answers.groupBy("pack_id")).applyInArrow(_scored(order, min_count, alpha), "doc_id long, n_words long, n_bare long, part double"))
+    for step in range(2, order + 1):
+        answers = spread(held.mapInArrow(_sends(step, buckets, min_count), SENT), parts, "bucket").mapInArrow(_met, ANSWER)
+        by_pack = answers.groupBy("pack_id").agg(F.collect_list(F.struct("part", "counts")).alias(f"answers{step}"))
+        held = held.join(by_pack.hint("merge"), "pack_id", "left")  # never broadcast; all sides are partitioned by pack_id
+    found = cut(held.mapInArrow(_scored(order, min_count, alpha), "doc_id long, n_words long, n_bare long, part double"))
     words = found.agg(F.sum("n_words")).first()[0] or 1
     total = F.col("part") - F.col("n_bare") * F.log(F.lit(float(words)))
     return found.select("doc_id", "n_words", total.alias("log_score"), F.try_divide(total, F.col("n_words")).alias("mean_log_score"))
