@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.plans.checkpoints import cut
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; set one only where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixframe-checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "n_partitions", "rows_of", "spread", "texts_of"]
 
 
 def n_partitions(spark: SparkSession) -> int:

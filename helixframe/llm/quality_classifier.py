@@ -171,12 +171,16 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     """P(good) by the scorer, without laying out the vectors."""
     m, at, t, pair, word, binned = _slots(texts)
-    up = lambda w, slots: np.concatenate(([0.0], np.cumsum(w[slots])))
-    of = up(weights[:WIDTH] * 4, pair)
+
+    def mean(w: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of each range; a range's sum does not depend on where it lies, so equal texts get equal scores."""
+        edges = np.stack([first, last], 1).ravel()
+        sums = np.add.reduceat(np.append(w.astype(float), 0.0), edges)[::2] if len(edges) else np.zeros(0)
+        return np.where(last > first, sums / np.maximum(last - first, 1), 0)
+
     ends = np.maximum(at[:-1], at[1:] - 2)
-    z = np.where(ends > at[:-1], (of[np.minimum(ends, len(of) - 1)] - of[np.minimum(at[:-1], len(of) - 1)]) / np.maximum(ends - at[:-1], 1), 0)
-    of = up(weights[WIDTH : 2 * WIDTH] * 4, word)
-    z = z + np.where(t.count > 0, (of[t.first[1:]] - of[t.first[:-1]]) / np.maximum(t.count, 1), 0)
+    z = mean(weights[:WIDTH][pair] * 4, np.minimum(at[:-1], len(pair)), np.minimum(ends, len(pair)))
+    z = z + mean(weights[WIDTH : 2 * WIDTH][word] * 4, t.first[:-1], t.first[1:])
     z = z + weights[2 * WIDTH + binned].sum(1) + weights[-1]
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 

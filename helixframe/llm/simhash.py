@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import cut, n_partitions, texts_of
-from helixframe.llm.components import components
+from helixframe.operators.graph import components
 
 SEED = 42
 
