@@ -23,14 +23,22 @@ def _extracted(joined: DataFrame, fixed: bool) -> DataFrame:
     return joined.where(F.col("a") < n).withColumns({"stop": stop.cast("long"), "piece": F.substr("seq", (F.col("a") + 1).cast("int"), (last - F.col("a")).cast("int"))})
 
 
+#: Intervals of a block, each of which meets every sequence as one row.
+BLOCK = 65_536
+
+
 def extract(seqs: DataFrame, intervals: DataFrame, fixed: bool = False) -> DataFrame:
     """(header, desc, a, stop, label, piece): residues a to b (exclusive, from 0) of every sequence, for every interval.
 
-    Every pair is asked for: the intervals are a list that a user wrote (the tool takes a million at most), and each
-    sequence is cut once. Intervals that begin after the end have no row. In order of stop, then the later start first.
+    Every pair is what is asked for. Intervals are gathered into blocks, and sequences are joined to the blocks by number,
+    so no list grows with its table. Intervals that begin after the end have no row. In order of stop, then the later
+    start first.
     """
     every = normalised(intervals)
-    pairs = seqs.select("header", "seq").join(every.agg(F.collect_list(F.struct("a", "b", "desc")).alias("list"))).withColumn("i", F.explode("list"))
+    n = max(1, -(-every.count() // BLOCK))
+    blocks = every.groupBy(F.pmod(F.xxhash64("a", "b", "desc"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("a", "b", "desc")).alias("list"))
+    spread = seqs.select("header", "seq", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    pairs = spread.join(blocks, "block").withColumn("i", F.explode("list"))
     out = _extracted(pairs.select("header", "seq", "i.*"), fixed)
     label = F.concat(F.coalesce("desc", F.lit("")), F.lit(" "), F.col("a").cast("string"), F.lit("-"), F.col("stop").cast("string"), F.lit(" "), F.col("header"))
     return out.select("header", "desc", "a", "stop", F.ltrim(label).alias("label"), "piece").orderBy("header", "stop", F.desc("a"))

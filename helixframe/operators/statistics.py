@@ -77,9 +77,9 @@ def kmers(seqs: DataFrame, k: int = 2, by_sequence: bool = False, dense: bool =
         every = seqs.sparkSession.range(4**k).select(S.decoded(F.col("id"), k).alias("kmer"))  # 4^10 rows at most
         frame = seqs.select(*keys).distinct().crossJoin(every) if by_sequence else every
         rows = frame.join(rows, [*keys, "kmer"], "left").fillna(0, ["fwd", "rev"])
-    totals = seqs.groupBy(*keys).agg(F.sum(F.size(_words(k, "[ACGT]")).cast("long")).alias("total"))
-    rows = rows.join(totals, keys) if by_sequence else rows.crossJoin(totals)  # one row of totals
-    pct = lambda x: F.try_divide(x, F.col("total"))
+    # Over 4^k rows at most, or those of a sequence: the sequences are read once.
+    rows = rows.withColumn("total", F.sum("fwd").over(W.partitionBy(*keys)))
+    pct = lambda x: F.try_divide(x, F.col("total").cast("double"))
     return rows.select(
         *keys, "kmer", S.reverse_complement(F.col("kmer")).alias("rc"), "fwd", "rev", (F.col("fwd") + F.col("rev")).alias("both"),
         pct(100.0 * F.col("fwd")).alias("fwd_pct"), pct(100.0 * F.col("rev")).alias("rev_pct"), pct(50.0 * (F.col("fwd") + F.col("rev"))).alias("avg_pct"), "total",
