@@ -25,11 +25,15 @@ class Motif:
     def __len__(self) -> int:
         return len(self.text)
 
+    def pattern(self, backwards: bool = False) -> str:
+        """Regular expression of windows that can match: A, C, G and T, those of the set at upper-case places."""
+        parts = [f"[{IUPAC[c.upper()]}]" if c.isupper() else "[ACGT]" for c in self.text]
+        return "".join(reversed(parts) if backwards else parts)
+
     def mismatches(self, window: Column) -> Column:
-        """Lower-case places that differ; null if an upper-case place does, or if the window has other than A, C, G, T."""
-        fixed = "".join(f"[{IUPAC[c.upper()]}]" if c.isupper() else "[ACGT]" for c in self.text)
+        """Lower-case places that differ, of a window that fits pattern()."""
         soft = [F.when(F.substring(window, j + 1, 1).isin(*IUPAC[c.upper()]), 0).otherwise(1) for j, c in enumerate(self.text) if c.islower()]
-        return F.when(window.rlike(f"^{fixed}$"), reduce(add, soft, F.lit(0)))
+        return reduce(add, soft, F.lit(0))
 
     def first_expansion(self, window: str, most: int, ambiguous: int) -> str | None:
         """Of a window with ambiguity codes: the first expansion, place by place in the codes' order, that matches."""
@@ -58,43 +62,56 @@ def motif_hits(seqs: DataFrame, pattern: str, mismatches: int = 0, ambiguous: in
 
     pos is 1-based on the given strand; window is the given strand there; left, match and right are in the direction of
     the hit. bisulfite searches the converted strands f and r and their complements u and v. With neighbours n, a hit
-    needs n residues on its right; on its left X fills up. ambiguous: so many ambiguity codes of the text may stand for
+    needs n residues after it on the given strand; before it X fills up. ambiguous: so many ambiguity codes of the text may stand for
     whatever matches. Characters other than letters are passed over.
     """
     if mismatches < 0 or ambiguous < 0 or not 0 <= neighbours <= 50:
         raise ValueError("mismatches and ambiguous must be 0 or more, neighbours from 0 to 50")
-    motif = Motif(pattern)
-    size = len(motif) + 2 * neighbours
-    letters = F.concat(F.lit("X" * neighbours), F.regexp_replace("seq", "[^A-Za-z]", ""))
-    places = seqs.select("seq_idx", "header", F.posexplode(F.regexp_extract_all(letters, F.lit(f"(?=(.{{{size}}}))"), F.lit(1))).alias("pos", "w"))
-    w = F.col("w")
-    rc, comp = S.strict_reverse_complement, S.strict_complement
+    motif, n = Motif(pattern), neighbours
+    size = len(motif)
+    text = F.regexp_replace("seq", "[^A-Za-z]", "")
+    comp = S.strict_complement
+    # Whole strands, all from left to right as given; those that run backwards are searched with the motif turned round,
+    # so that a window is only turned where it is a hit.
     if bisulfite:
         bis = lambda c: S.bisulfite(c, fixed and bisulfite == 2)
-        strands = {"f": bis(w), "r": bis(rc(w)), "u": F.reverse(comp(bis(w))), "v": rc(bis(rc(w)))}
+        other = F.reverse(bis(S.strict_reverse_complement(text)))
+        strands = {"f": bis(text), "r": other, "u": comp(bis(text)), "v": comp(other)}
+    else:
+        strands = {"f": text, "r": comp(text)}
+    backwards = {"r", "u"}
+
+    def windows(d: str, c: Column) -> Column:
+        fits = f".{{{size}}}" if ambiguous else motif.pattern(d in backwards)
+        return F.regexp_extract_all(F.concat(F.lit("X" * n), c), F.lit(f"(?is)(?=(.{{{n}}}{fits}.{{{n}}}))|."), F.lit(1))
+
+    core = lambda c: F.substring(c, n + 1, size)
+    each = seqs.select("seq_idx", "header", text.alias("top"), F.explode(F.array(*[F.struct(F.lit(d).alias("dir"), windows(d, c).alias("w")) for d, c in strands.items()])).alias("s"))
+    if ambiguous:  # every place is a candidate, so the given strand's windows are laid beside the others once
+        each = each.select("seq_idx", "header", "s.dir", F.arrays_zip(F.col("s.w").alias("w"), windows("f", F.col("top")).alias("g")).alias("p"))
+        places = each.select("seq_idx", "header", "dir", F.posexplode("p").alias("at", "p")).select("seq_idx", "header", "dir", "at", "p.w", core(F.col("p.g")).alias("window")).where("w <> ''")
     else:
-        strands = {"f": w, "r": rc(w)}
-    each = places.withColumn("s", F.explode(F.array(*[F.struct(F.lit(d).alias("dir"), c.alias("text")) for d, c in strands.items()])))
-    core = lambda c: F.substring(c, neighbours + 1, len(motif))
-    each = each.select("seq_idx", "header", "pos", "w", "s.dir", "s.text", F.upper(core(F.col("s.text"))).alias("up"))
+        hits = each.select("seq_idx", "header", "top", "s.dir", F.posexplode("s.w").alias("at", "w")).where("w <> ''")
+        places = hits.select("seq_idx", "header", "dir", "at", "w", F.substr("top", F.col("at") + 1, F.lit(size)).alias("window"))
+    buf = F.when(F.col("dir").isin(*backwards), F.reverse("w")).otherwise(F.col("w"))
+    places = places.select("seq_idx", "header", "window", "dir", (F.col("at") + 1).alias("pos"), buf.alias("text")).withColumn("up", F.upper(core(F.col("text"))))
     if ambiguous:
 
         @F.pandas_udf("string")
-        def expanded(windows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for part in windows:
+        def expanded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for part in parts:
                 yield part.map(lambda x: motif.first_expansion(x, mismatches, ambiguous))
 
         # Only windows with a few ambiguity codes leave the JVM.
         codes = F.length(F.regexp_replace("up", "[ACGT]", ""))
-        plain = each.where(codes == 0).withColumn("exp", F.col("up"))
-        each = plain.unionByName(each.where((codes > 0) & (codes <= ambiguous)).withColumn("exp", expanded("up")).where("exp IS NOT NULL"))
+        plain = places.where(F.col("up").rlike(f"^{motif.pattern()}$")).withColumn("exp", F.col("up"))
+        places = plain.unionByName(places.where((codes > 0) & (codes <= ambiguous)).withColumn("exp", expanded("up")).where("exp IS NOT NULL"))
     else:
-        each = each.withColumn("exp", F.col("up"))
-    found = each.withColumn("n_mis", motif.mismatches(F.col("exp"))).where(F.col("n_mis") <= mismatches)
-    text = F.col("text")
+        places = places.withColumn("exp", F.col("up"))
+    found = places.withColumn("n_mis", motif.mismatches(F.col("exp"))).where(F.col("n_mis") <= mismatches)
     return found.select(
-        "seq_idx", "header", (F.col("pos") + 1).alias("pos"), "dir", F.substring(text, 1, neighbours).alias("left"), core(text).alias("match"),
-        F.substring(text, neighbours + len(motif) + 1, max(neighbours, 0)).alias("right"), "n_mis", F.col("exp").alias("expansion"), core(w).alias("window"),
+        "seq_idx", "header", "pos", "dir", F.substring("text", 1, n).alias("left"), core(F.col("text")).alias("match"), F.substring("text", n + size + 1, n).alias("right"),
+        "n_mis", F.col("exp").alias("expansion"), "window",
     )
 
 
