@@ -11,11 +11,12 @@ from helixframe.functions import sequences as S
 
 def select_sequences(
     seqs: DataFrame, min_length: int | None = None, max_length: int | None = None, header: str | None = None, sequence: str | None = None,
-    begin: int | None = None, limit: int | None = None, trim_stop: bool = False, highlight: bool = False, fixed: bool = False,
+    begin: int | None = None, limit: int | None = None, trim_stop: bool = False, highlight: bool = False, fixed: bool = False, fastq: bool = False,
 ) -> DataFrame:
     """Records by place, length and patterns (case ignored). A zero option is no option. With a header pattern the
     sequence pattern is ignored, unless fixed. limit takes the first records that pass. highlight lowers the case of
-    the text that was searched but for its first match."""
+    the text that was searched but for its first match. Headers are searched with their > and line end; those of reads
+    (fastq) have their @ already."""
     out = seqs.where(F.col("seq_idx") >= begin) if begin else seqs
     if trim_stop:
         out = out.withColumn("seq", S.without_stop(F.col("seq")))
@@ -24,11 +25,11 @@ def select_sequences(
         out = out.where(n >= min_length)
     if max_length:
         out = out.where(n <= max_length)
-    line = F.concat(F.lit(">"), F.col("header"), F.lit("\n"))
+    line = F.concat(F.lit("" if fastq else ">"), F.col("header"), F.lit("\n"))
     if header:
         out = out.where(line.rlike(f"(?i){header}"))
         if highlight:
-            out = out.withColumn("header", F.regexp_replace(S.highlighted(line, header), "^>|\n$", ""))
+            out = out.withColumn("header", F.regexp_replace(S.highlighted(line, header), "\n$" if fastq else "^>|\n$", ""))
     if sequence and (fixed or not header):
         out = out.where(F.col("seq").rlike(f"(?i){sequence}"))
         if highlight:

@@ -104,6 +104,7 @@ def test_selection(seqs):
     assert rows(selection.select_sequences(s, sequence="ca", highlight=True), "seq") == [("ccCAc*",)]
     assert rows(selection.select_sequences(s, header="s2 E", highlight=True), "header") == [("S2 En",)]
     assert rows(selection.select_sequences(s, begin=2, limit=1), "seq_idx") == [(2,)]
+    assert rows(selection.select_sequences(seqs(("@r1", "A"), ("@r2", "CC")), 2, header="^@r", fastq=True), "header") == [("@r2",)]
     assert rows(selection.sequence_range(s, 2, 3), "seq_idx") == [(2,), (3,)]
     assert rows(selection.split_names(s, " ", 0, "fa"), "fname", "seq_idx") == [("s1.fa", 1), ("s2.fa", 3)]
 
