@@ -49,9 +49,10 @@ def coarse(v: np.ndarray) -> bytes:
     return np.rint(v / np.abs(v).max() * 127).astype(np.int8).tobytes()
 
 
-def _unit(raw: bytes) -> np.ndarray:
-    v = np.frombuffer(raw, np.int8).astype(np.float32)
-    return v / np.sqrt((v * v).sum())
+def _units(raw: list[bytes]) -> np.ndarray:
+    """Coarse vectors of one length, as rows of length 1."""
+    v = np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1).astype(np.float32)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
 def _by_dim(vectors: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -95,9 +96,9 @@ def _placed(trees: int, seed: int, depth: int, shares: dict[int, int] | None, qu
 PLACED = "bucket long, kind int, id long, string long, stop int, vector binary"
 
 
-def _range(keys: np.ndarray, s: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _range(keys: np.ndarray, s: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """The part of the sorted array that shares a prefix of `length` bits with each string."""
-    rest = np.uint64(BITS - length)
+    rest = (BITS - np.asarray(length)).astype(np.uint64)
     low = s >> rest << rest
     return np.searchsorted(keys, low), np.searchsorted(keys, low + (np.uint64(1) << rest))
 
@@ -120,7 +121,7 @@ def _stream(batches: Iterable[pa.RecordBatch], answer: Callable) -> Iterator[pa.
                 keys = rows.column("string").to_numpy().astype(np.int64).view(np.uint64)
                 order = np.argsort(keys, kind="stable")
                 held = rows.column("vector").to_pylist() if "vector" in rows.schema.names else []
-                vectors = np.stack([_unit(held[i]) for i in order.tolist()]) if held else np.zeros((0, 0))
+                vectors = _units(held)[order] if held else np.zeros((0, 0))
                 index = keys[order], rows.column("id").to_numpy()[order], vectors
             yield answer(*index, part)
 
@@ -153,17 +154,16 @@ def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _best(keep: int) -> Callable:
     def answer(keys: np.ndarray, ids: np.ndarray, vectors: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], []]
-        columns = (part.column(n) for n in ("id", "string", "stop", "vector"))
-        for q, s, stop, raw in zip(*(c.to_pylist() for c in columns), strict=True):
-            a, b = _range(keys, np.array([s], np.int64).view(np.uint64), stop)
-            a, b = int(a[0]), int(b[0])
-            if b > a:
-                score = vectors[a:b] @ _unit(raw)
-                top = np.lexsort((ids[a:b], -score))[:keep]
-                for column, x in zip(out, ([q] * len(top), ids[a:b][top].tolist(), score[top].tolist()), strict=True):
-                    column += x
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["id", "near", "score"])
+        first, last = _range(keys, part.column("string").to_numpy().view(np.uint64), part.column("stop").to_numpy())
+        questions = _units(part.column("vector").to_pylist())
+        near, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for q, a, b in zip(questions, first.tolist(), last.tolist(), strict=True):
+            score = vectors[a:b] @ q if b > a else scores[0]
+            top = np.argpartition(score, len(score) - keep)[-keep:] if len(score) > keep else np.arange(len(score))
+            near.append(ids[a + top])
+            scores.append(score[top])
+        asked = np.repeat(part.column("id").to_numpy(), np.minimum(np.maximum(last - first, 0), keep))
+        return pa.RecordBatch.from_arrays([pa.array(asked), pa.array(np.concatenate(near)), pa.array(np.concatenate(scores).astype(np.float64))], ["id", "near", "score"])
 
     return lambda batches: _stream(batches, answer)
 
@@ -220,8 +220,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 64, ca
     stop = F.coalesce(*[F.when(F.col(levels[j]) >= max(candidates, int(share * size)), F.lit(min(BITS, depth + j))) for j in reversed(range(LEVELS))], F.lit(depth))
     stopped = questions.join(totals.select("id", stop.alias("stop")), "id").select("id", "stop", "vector")
     again = index_rows.unionByName(stopped.mapInArrow(_placed(trees, seed, depth, shares, True), PLACED))
-    # Coarse scores pick four times as many as are asked for, from each bucket and then of all; exact ones decide.
-    found = sorted_(again).mapInArrow(_best(4 * (k + 1)), "id long, near long, score double")
+    # Coarse scores pick twice as many as are asked for from each bucket and four times as many of all; exact ones decide.
+    found = sorted_(again).mapInArrow(_best(2 * (k + 1)), "id long, near long, score double")
     best = found.groupBy("id", "near").agg(F.max("score").alias("score"))
     some = best.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "near"))).where(F.col("r") <= 4 * (k + 1)).select("id", "near")
     paired = some.join(questions.select("id", "vector"), "id").join(entries.select(F.col("id").alias("near"), F.col("vector").alias("other")), "near")
