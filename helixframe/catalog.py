@@ -191,14 +191,28 @@ _orf = (
     "substr(t, (p + 1)::BIGINT, 3) AS start_codon, substr(t, (p + n + 1)::BIGINT, 3) AS stop_codon, substr(t, (p + 1)::BIGINT, n::BIGINT) AS orf FROM ox WHERE n >= 30"
 )
 on_dna("orfs", _orf, lambda d: search.open_reading_frames(d, 30))
-on_dna("orfs_whole", None, lambda d: search.open_reading_frames(d, 30, whole=True))
-_runs = (
+_open = (
+    _marks + "og AS (SELECT seq_idx, header, frame, any_value(t) AS t, any_value(o) AS o, CASE WHEN min(k) = 0 THEN 0 ELSE min(CASE WHEN start THEN k END) END AS a, coalesce(max(CASE WHEN stop THEN k END), max(k) + 1) AS b "
+    "FROM sg GROUP BY seq_idx, header, frame, s), ox AS (SELECT *, o + 3 * a AS p, 3 * (b - a) AS n FROM og WHERE a IS NOT NULL) "
+    "SELECT seq_idx::BIGINT AS seq_idx, header, frame, p::INTEGER AS start, (CASE WHEN frame[1] = 'F' THEN p + 1 ELSE length(t) - (p + n) + 1 END)::INTEGER AS position, n::INTEGER AS length, "
+    "CASE WHEN p < 3 THEN '???' ELSE substr(t, (p + 1)::BIGINT, 3) END AS start_codon, CASE WHEN p + n >= length(t) - 3 THEN '???' ELSE substr(t, (p + n + 1)::BIGINT, 3) END AS stop_codon, "
+    "substr(t, (p + 1)::BIGINT, n::BIGINT) AS orf FROM ox WHERE n >= 30"
+)
+on_dna("orfs_whole", _open, lambda d: search.open_reading_frames(d, 30, whole=True))
+_run = (
     ", r AS (SELECT seq_idx, header, seq, i, length(regexp_extract(substr(seq, i::BIGINT), '^A+')) AS n FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM dna) WHERE substr(seq, i::BIGINT, 1) = 'A' AND (i = 1 OR substr(seq, (i - 1)::BIGINT, 1) <> 'A')), "
-    "c AS (SELECT *, row_number() OVER (PARTITION BY seq_idx ORDER BY n DESC, i) AS k FROM r WHERE n >= 4 AND i + n - 1 < length(seq)) "
-    "SELECT seq_idx::BIGINT AS seq_idx, header, n::INTEGER AS length, (i - 1)::INTEGER AS \"left\", (length(seq) - (i + n - 1))::INTEGER AS remaining FROM c WHERE k = 1"
+    "q AS (SELECT * FROM r WHERE n >= 4 AND i + n - 1 < length(seq)), "
 )
+_runs = (
+    f"{_run} c AS (SELECT *, row_number() OVER (PARTITION BY seq_idx ORDER BY n DESC, i) AS k FROM q) "
+    "SELECT seq_idx::BIGINT AS seq_idx, header, n::INTEGER AS length, (i - 1)::INTEGER AS \"left\", (length(seq) - (i + n - 1))::INTEGER AS remaining FROM c WHERE k = 1"
+)
+_records = (
+    f"{_run} g AS (SELECT *, i - 1 - coalesce(lag(i - 1 + n) OVER (PARTITION BY seq_idx ORDER BY i), 0) AS gap, n > coalesce(max(n) OVER (PARTITION BY seq_idx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS longer FROM q) "
+    "SELECT seq_idx::BIGINT AS seq_idx, any_value(header) AS header, max(n)::INTEGER AS length, (sum(gap + n) - max(n))::INTEGER AS \"left\", min(length(seq) - (i + n - 1))::INTEGER AS remaining FROM g WHERE longer GROUP BY seq_idx"
+)
 on_dna("poly_a", _runs, lambda d: search.longest_runs(d, fixed=True))
-on_dna("poly_a_as_is", None, search.longest_runs)
+on_dna("poly_a_as_is", _records, search.longest_runs)
 _hit = lambda p, n: f"SELECT seq_idx, header, i - 1 AS o, substr(seq, i::BIGINT, {n}) AS m FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM dna) WHERE regexp_full_match(substr(seq, i::BIGINT, {n}), '{p}')"
 on_dna("re_count", f", h AS ({_hit('A[CT]A', 3)}) SELECT dna.seq_idx::BIGINT AS seq_idx, dna.header, count(o)::BIGINT AS n FROM dna LEFT JOIN h USING (seq_idx) GROUP BY ALL", lambda d: search.regex_counts(d, "a[ct]a"))
 on_dna("re_all", f", h AS ({_hit('A[CT]A', 3)}) SELECT {_IDX}, header, o::INTEGER AS \"offset\", 3::INTEGER AS length, m AS match FROM h", lambda d: search.regex_matches(d, "a[ct]a", every=True))
@@ -224,7 +238,14 @@ on_dna(
     _motif({"f": _bs("w"), "r": _bs(_RC.format("w")), "u": _RC.format(_bs("w")), "v": _RC.format(_bs(_RC.format("w")))}, "TGT[ACGT]{2}", [(4, "AT"), (5, "G")], 5, 1),
     lambda d: _found(search.motif_hits(d, "TGTwg", 1, bisulfite=1)),
 )
-on_dna("prosearch_ambiguous", None, lambda d: search.motif_hits(d, "ATTR", ambiguous=1))
+_first = lambda j, c: f"CASE WHEN substr(t, {j}, 1) = 'N' THEN '{c}' ELSE substr(t, {j}, 1) END"
+on_dna(
+    "prosearch_ambiguous",
+    f", w AS ({_words(4)}), s AS (SELECT *, 'f' AS dir, w AS t FROM w UNION ALL SELECT *, 'r', {_RC.format('w')} FROM w) "
+    f'SELECT {_IDX}, header, (pos + 1)::INTEGER AS pos, dir, \'\' AS "left", t AS "match", \'\' AS "right", 0::INTEGER AS n_mis, {" || ".join(_first(j, c) for j, c in enumerate("ATTA", 1))} AS expansion, w AS "window" '
+    "FROM s WHERE regexp_full_match(t, '[AN][TN][TN][AGN]') AND length(replace(t, 'N', '')) >= 3",
+    lambda d: search.motif_hits(d, "ATTR", ambiguous=1),
+)
 on_dna(
     "prosearch_neighbours",
     f", w AS (SELECT seq_idx, header, i, seq, substr(seq, i::BIGINT, 9) AS t, CASE WHEN i > 4 THEN substr(seq, (i - 4)::BIGINT, 4) ELSE repeat('X', (5 - i)::BIGINT) || substr(seq, 1, (i - 1)::BIGINT) END AS l "
@@ -312,4 +333,11 @@ _nodes = (
 )
 query("connected_components", _nodes + "SELECT node, component FROM n", view=False)(lambda s, d: graph.components(_links(s, d)))
 query("components_min3", _nodes + "SELECT component, count(*)::BIGINT AS n_nodes FROM n GROUP BY component HAVING count(*) >= 3", view=False)(lambda s, d: graph.component_sizes(_links(s, d), 3))
-query("subgraph_text", None)(lambda s, d: graph.subgraphs(_links(s, d), 3, edges=True))
+_rest = "FILTER (a <> component)"
+query(
+    "subgraph_text",
+    "WITH e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer), m AS (SELECT *, min(a) OVER (PARTITION BY b) AS component FROM e) "
+    f"SELECT component, count(*)::BIGINT + 1 AS n_nodes, component || ' ' || b || ' ' || string_agg(a, ' ' ORDER BY a) {_rest} || chr(10) || '   ' || component || ' ' || b || chr(10) || "
+    f"string_agg('   ' || b || ' ' || a, chr(10) ORDER BY a) {_rest} AS text FROM m GROUP BY component, b HAVING count(*) >= 2",
+    view=False,
+)(lambda s, d: graph.subgraphs(_links(s, d), 3, edges=True))

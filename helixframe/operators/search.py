@@ -14,6 +14,10 @@ from helixframe.functions import sequences as S
 from helixframe.functions.alphabet import IUPAC, STARTS, STOPS
 
 
+#: Residues of a block, the unit in which parts of long strands are looked up.
+BLOCK = 4096
+
+
 class Motif:
     """An IUPAC pattern: upper-case places must match, lower-case ones may differ; a dot is N."""
 
@@ -119,41 +123,40 @@ def open_reading_frames(seqs: DataFrame, min_length: int | None = None, starts:
     """(seq_idx, header, frame, start, position, length, start_codon, stop_codon, orf): from the first start codon after a
     stop to the next stop, in each frame; length in nucleotides, without the stop, is 300 by default at least.
 
-    Each frame's codons become a line of marks (S start, T stop, - other), which one regular expression cuts into gaps
-    and frames: no window, no shuffle. start counts from 0 on the strand, position from 1 on the given strand. whole
+    Each frame's codons become a line of marks (S start, T stop, - other). One regular expression passes over it codon by
+    codon and, after each stop, looks ahead to the next one, so that a segment's place is its index: no window, no shuffle,
+    and time in proportion to the sequence. start counts from 0 on the strand, position from 1 on the given strand. whole
     also reports what begins before or ends after the sequence, with ??? for a codon so near its end.
     """
     least = min_length or 300
     begins = set((starts or ",".join(STARTS)).upper().split(",")) - set(STOPS)
     if any(len(c) != 3 or set(c) - set("ACGT") for c in begins):
         raise ValueError(f"no codons: {starts}")
-    # \\G: each match begins where the last one ended, so a tail without a match is read once, not once a place.
-    pattern = "\\G([^S]*?)((?:^|S)[^T]*(?:T|$))" if whole else "\\G([^S]*?)(S[^T]*T)"
+    pattern = f"(?:(?<![^T])(?=([^T]*+{'(?:T|$)' if whole else 'T'})))?."
     found = []
     for f in frames:
         text, off = S.strand(F.col("seq"), f[0]), int(f[1]) - 1
         mark = lambda c: F.when(c.isin(*STOPS), "T").when(c.isin(*begins), "S").otherwise("-")
-        found.append(F.struct(F.lit(f).alias("frame"), F.lit(off).alias("off"), text.alias("text"), F.array_join(F.transform(S.codons(F.col("seq") if f[0] == "F" else text, off), mark), "").alias("marks")))
-    lines = seqs.select("seq_idx", "header", F.explode(F.array(*found)).alias("f")).select("seq_idx", "header", "f.*")
-    part = lambda g: F.regexp_extract_all("marks", F.lit(pattern), F.lit(g))
-    lines = lines.select("seq_idx", "header", "frame", "off", "text", F.arrays_zip(part(1).alias("gap"), part(2).alias("run")).alias("parts"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,n:int>>").alias("out"))
-
-    def placed(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        n = F.length(x["run"])
-        closed = F.endswith(x["run"], F.lit("T"))
-        one = F.struct(a.alias("a"), F.when(closed, n - 1).otherwise(n).alias("n"))
-        return F.struct((a + n).alias("at"), F.array_append(acc["out"], one).alias("out"))
-
-    orfs = lines.select("seq_idx", "header", "frame", "off", "text", F.explode(F.aggregate("parts", begin, placed, lambda acc: acc["out"])).alias("o"))
-    a, n, size = F.col("off") + 3 * F.col("o.a"), 3 * F.col("o.n"), F.length("text")
-    codon = lambda at: F.substr("text", at + 1, F.lit(3))
-    first = F.when(a < 3, "???").otherwise(codon(a)) if whole else codon(a)
-    last = F.when(a + n >= size - 3, "???").otherwise(codon(a + n)) if whole else codon(a + n)
-    return orfs.where(n >= least).select(
-        "seq_idx", "header", "frame", a.alias("start"), F.when(F.startswith("frame", F.lit("F")), a + 1).otherwise(size - (a + n) + 1).alias("position"),
-        n.alias("length"), first.alias("start_codon"), last.alias("stop_codon"), F.substr("text", a + 1, n).alias("orf"),
+        marks = F.array_join(F.transform(S.codons(text, off), mark), "")
+        found.append(F.struct(F.lit(f).alias("frame"), F.lit(off).alias("off"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), marks.alias("marks")))
+    lines = seqs.select("seq_idx", "header", F.length("seq").alias("size"), F.explode(F.array(*found)).alias("f")).select("seq_idx", "header", "size", "f.*")
+    segments = lines.select("seq_idx", "header", "size", "frame", "off", "blocks", F.posexplode(F.regexp_extract_all("marks", F.lit(pattern), F.lit(1))).alias("at", "run")).where("run <> ''")
+    skip = F.instr("run", "S") - 1
+    skip = F.when(F.col("at") == 0, 0).otherwise(skip) if whole else skip
+    size = F.col("size")
+    orfs = segments.withColumns({"skip": skip, "codons": F.length("run") - F.when(F.endswith("run", F.lit("T")), 1).otherwise(0) - skip}).where((F.col("skip") >= 0) & (3 * F.col("codons") >= least))
+    a, n = F.col("off") + 3 * (F.col("at") + F.col("skip")), 3 * F.col("codons")
+    # Frame and stop, cut from the few blocks that hold them, however long the strand.
+    first_block = F.floor(a / BLOCK).cast("int")
+    near = F.array_join(F.slice("blocks", first_block + 1, F.floor((a + n + 2) / BLOCK).cast("int") - first_block + 1), "")
+    orfs = orfs.select("seq_idx", "header", "size", "frame", a.alias("start"), n.alias("length"), F.substr(near, a - first_block * BLOCK + 1, n + 3).alias("piece"))
+    a, n = F.col("start"), F.col("length")
+    first, last = F.substring("piece", 1, 3), F.substr("piece", n + 1, F.lit(3))
+    if whole:
+        first, last = F.when(a < 3, "???").otherwise(first), F.when(a + n >= size - 3, "???").otherwise(last)
+    return orfs.select(
+        "seq_idx", "header", "frame", "start", F.when(F.startswith("frame", F.lit("F")), a + 1).otherwise(size - (a + n) + 1).alias("position"),
+        "length", first.alias("start_codon"), last.alias("stop_codon"), F.substr("piece", F.lit(1), n).alias("orf"),
     )
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,33 @@ def test_orfs(seqs):
     assert search.open_reading_frames(seqs(("s", "TTGAAATAG")), 3, starts="ATG").count() == 0
 
 
+def brute_orfs(seq, least, whole):
+    found = []
+    for d, text in (("F", seq), ("R", seq[::-1].translate(str.maketrans("ACGT", "TGCA")))):
+        for off in range(3):
+            at, after = None, off
+            for p in range(off, len(text) - 2, 3):
+                codon = text[p : p + 3]
+                if at is None and (codon in ("ATG", "GTG", "TTG") or (whole and p == off)):
+                    at = p
+                after = p + 3
+                if codon in ("TAA", "TAG", "TGA"):
+                    found.append((d, off, at, p))
+                    at = None
+            if whole:
+                found.append((d, off, at, after))
+    return sorted((f"{d}{off + 1}", a, b - a) for d, off, a, b in found if a is not None and b - a >= least)
+
+
+def test_orfs_of_a_long_sequence(seqs):
+    rnd = random.Random(11)
+    seq = "".join(rnd.choices("ACGT", k=1_000_000))
+    for whole in (False, True):
+        out = search.open_reading_frames(seqs(("s", seq)), 150, whole=whole).collect()
+        assert sorted((r.frame, r.start, r.length) for r in out) == brute_orfs(seq, 150, whole)
+        assert all(seq[r.start : r.start + r.length] == r.orf for r in out if r.frame[0] == "F")
+
+
 def test_orf_bodies_have_no_stops(seqs):
     for r in search.open_reading_frames(seqs(("s", "ATGCCCATGTGATTGAACTAACATTTACAT" * 4)), 3).collect():
         codons = [r.orf[k : k + 3] for k in range(0, len(r.orf), 3)]
