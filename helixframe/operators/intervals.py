@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
-from helixframe.plans.binned import overlapping
+from helixframe.plans.binned import overlapping, touching
 
 
 def normalised(intervals: DataFrame) -> DataFrame:
@@ -52,14 +52,16 @@ def neighbourhoods(seqs: DataFrame, regions: DataFrame, fixed: bool = False) ->
 
 def overlap_summary(a: DataFrame, b: DataFrame, width: int = 1024, by_chr: bool = False) -> DataFrame:
     """Rows of a (row_idx, chr, start, stop) with n, m: rows of b that overlap and the places they share; u, v: rows of b
-    that lie within and their places. Intervals are closed. Chromosomes are compared only if by_chr."""
+    that lie within and their places. Intervals are closed. Chromosomes are compared only if by_chr. Equal intervals of b
+    are counted before they are joined."""
     keys = ["chr"] if by_chr else []
     left = a.select("row_idx", *keys, F.col("start").alias("a1"), F.col("stop").alias("a2"))
-    right = b.select(*keys, F.col("start").alias("b1"), F.col("stop").alias("b2"))
+    right = b.groupBy(*keys, F.col("start").alias("b1"), F.col("stop").alias("b2")).agg(F.count(F.lit(1)).alias("times"))
     pairs = overlapping(left, right, width, keys)
+    times = F.col("times")
     shared, within = F.least("a2", "b2") - F.greatest("a1", "b1") + 1, (F.col("b1") >= F.col("a1")) & (F.col("b2") <= F.col("a2"))
     sums = pairs.groupBy("row_idx").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(shared).alias("m"), F.count_if(within).alias("u"), F.sum(F.when(within, shared).otherwise(0)).alias("v")
+        F.sum("times").alias("n"), F.sum(times * shared).alias("m"), F.sum(F.when(within, times).otherwise(0)).alias("u"), F.sum(F.when(within, times * shared).otherwise(0)).alias("v")
     )
     return a.join(sums, "row_idx", "left").fillna(0, ["n", "m", "u", "v"])
 
@@ -72,7 +74,8 @@ def alignment_end(pos: Column, cigar: Column, fixed: bool = False) -> Column:
 
 def alignments(sam: DataFrame, transcripts: DataFrame, invert: bool = False, width: int = 1024, fixed: bool = False) -> DataFrame:
     """Rows of sam (row_idx, rname, pos, cigar, ...) that overlap a transcript (chr, start, stop) of their chromosome, or
-    (invert) that overlap none. The end of an alignment is taken as alignment_end() has it, inclusively."""
+    (invert) that overlap none. The end of an alignment is taken as alignment_end() has it, inclusively. However many
+    transcripts lie over a read, it meets each bin once."""
     reads = sam.select("row_idx", F.col("rname").alias("chr"), F.col("pos").alias("a1"), alignment_end(F.col("pos"), F.col("cigar"), fixed).alias("a2"))
-    found = overlapping(reads, transcripts.select("chr", F.col("start").alias("b1"), F.col("stop").alias("b2")).distinct(), width, ["chr"])
+    found = touching(reads, transcripts.select("chr", F.col("start").alias("b1"), F.col("stop").alias("b2")), width, ["chr"])
     return sam.join(found.select("row_idx").distinct(), "row_idx", "left_anti" if invert else "left_semi")

@@ -21,3 +21,17 @@ def overlapping(a: DataFrame, b: DataFrame, width: int, keys: list[str] | None =
     left, right = binned(a, "a1", "a2", width), binned(b, "b1", "b2", width)
     first = F.col("bin") == F.floor(F.greatest("a1", "b1") / width)
     return left.join(right, ["bin", *(keys or [])]).where((F.col("a1") <= F.col("b2")) & (F.col("b1") <= F.col("a2")) & first).drop("bin")
+
+
+def touching(a: DataFrame, b: DataFrame, width: int, keys: list[str] | None = None) -> DataFrame:
+    """Rows of a, once for each bin in which they share a place with an interval of b.
+
+    Intervals of b are clipped to their bins, and of those that begin at the same place in a bin the longest stands for
+    all, so a bin is one row with a list of `width` pairs at most, and no row of a is paired with more than its own bins.
+    """
+    keys = keys or []
+    low = F.col("bin") * width
+    clipped = binned(b, "b1", "b2", width).groupBy(*keys, "bin", F.greatest(F.col("b1") - low, F.lit(0)).alias("from")).agg(F.max(F.least(F.col("b2") - low, F.lit(width - 1))).alias("to"))
+    bins = clipped.groupBy(*keys, "bin").agg(F.collect_list(F.struct("from", "to")).alias("held"))
+    met = F.exists("held", lambda x: (x["from"] <= F.col("a2") - low) & (x["to"] >= F.col("a1") - low))
+    return binned(a, "a1", "a2", width).join(bins, ["bin", *keys]).where(met).drop("held", "bin")

@@ -186,6 +186,29 @@ def test_alignments(spark):
     assert rows(intervals.alignments(sam, transcripts, fixed=True), "row_idx") == [(3,)]
 
 
+@pytest.mark.parametrize("width", [7, 64, 1024])
+def test_intervals_against_all_pairs(spark, width):
+    rnd = random.Random(width)
+    some = lambda n: [(s := rnd.randrange(-50, 400), s + rnd.randrange(-1, 60)) for _ in range(n)]
+    reads, other = [(s, max(e, s)) for s, e in some(60)], some(25) * 2
+    a, b = _table(spark, reads), _table(spark, other)
+    meet = [[(max(s, x), min(e, y), s <= x and y <= e) for x, y in other if x <= y and s <= y and x <= e] for s, e in reads]
+    want = sorted((s, e, len(m), sum(y - x + 1 for x, y, _ in m), sum(i for *_, i in m), sum(y - x + 1 for x, y, i in m if i)) for (s, e), m in zip(reads, meet, strict=True))
+    assert rows(intervals.overlap_summary(a, b, width), "start", "stop", "n", "m", "u", "v") == want
+    sam = a.select("row_idx", F.lit("chr1").alias("rname"), F.col("start").alias("pos"), F.concat((F.col("stop") - F.col("start")).cast("string"), F.lit("M")).alias("cigar"))
+    hit = [k for k, m in enumerate(meet) if m]
+    found = intervals.alignments(sam, b.withColumn("chr", F.lit("chr1")), width=width)
+    first = a.agg(F.min("row_idx")).first()[0]
+    assert rows(found, "row_idx") == [(k + first,) for k in hit]
+
+
+def test_alignments_of_a_deep_place(spark):
+    at = F.col("id") % 300
+    reads = spark.range(20_000).select(F.col("id").alias("row_idx"), F.lit("c").alias("rname"), (at + 1).alias("pos"), F.lit("40M").alias("cigar"))
+    over = spark.range(20_000).select(F.lit("c").alias("chr"), at.alias("start"), (at + 1000 + F.col("id")).alias("stop"))
+    assert intervals.alignments(reads, over).count() == 20_000 and intervals.alignments(reads, over, invert=True).count() == 0
+
+
 LINKS = "A B,B C,A C,D C,E F,E G,F G,G H,H I,I J,L M"
 
 
