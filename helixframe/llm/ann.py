@@ -5,8 +5,10 @@ array. A query descends to the longest prefix that it shares with any string of
 together, bit by bit, until enough candidates share the prefix, so that the prefix is as long as the data near the query
 allow. Candidates are ranked by exact cosine.
 
-Arrays are cut at their first few bits into buckets (as many as give some thousand vectors each; depth zero on small
-tables), and a bucket that holds more is dealt out in shares, each asked by the bucket's queries. The ascent takes two
+Arrays are cut at their first few bits into buckets (as many as give some thousand vectors each, but so few that all
+trees' buckets of a query hold twice the candidates asked for; depth zero on small tables), and a bucket that holds more
+is dealt out in shares, each asked by the bucket's queries. A query whose buckets hold too few goes on to the root, where
+one tree has every vector. The ascent takes two
 passes: one counts, for each query and length of prefix, what all trees hold; the other, knowing the length at which
 to stop, scores the candidates where they are and returns the best of each bucket.
 
@@ -62,21 +64,24 @@ def _by_dim(vectors: list[np.ndarray]) -> Iterator[np.ndarray]:
 
 
 def _placed(trees: int, seed: int, depth: int, shares: dict[int, int] | None, query: bool) -> Callable:
-    """(bucket, kind, id, string[, stop], vector): entries in one share of each tree's bucket, queries in all of them."""
+    """(bucket, kind, id, string[, stop], vector): entries in one share of each tree's bucket, queries in all of them. A
+    query that stops at the root is in all buckets of the first tree instead. Without stops, queries are to be counted."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            stops = batch.column("stop").to_numpy() if query else np.zeros(len(ids), np.int32)
+            stops = batch.column("stop").to_numpy() if query else np.full(len(ids), -1, np.int32)
             vectors = [np.frombuffer(v, "<f8") for v in batch.column("vector").to_pylist()]
             raw = [coarse(v) for v in vectors]
             for some in _by_dim(vectors) if vectors else ():
                 x = np.stack([vectors[i] for i in some])
                 s = strings(x, trees, seed)
                 home = (s >> np.uint64(BITS - depth)).astype(np.int64) + (np.arange(trees) << depth)
+                root = stops[some] == 0
+                row = np.concatenate((np.repeat(np.flatnonzero(~root), trees), np.repeat(np.flatnonzero(root), 1 << depth)))
+                home = np.concatenate((home[~root].ravel(), np.tile(np.arange(1 << depth), root.sum())))
+                s = np.concatenate((s[~root].ravel(), np.repeat(s[root, 0], 1 << depth)))
                 home = home * 65536 + min(x.shape[1], 65535)
-                row, tree = np.divmod(np.arange(home.size), trees)
-                home, s = home.ravel(), s.ravel()
                 if shares is not None:
                     n = np.array([shares.get(h, 1) for h in home.tolist()])
                     if query:
@@ -189,7 +194,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 64, ca
     but the query's own; a vector of another length is none. A row whose id is null, or whose vector is null, empty,
     zero, or holds a null, a NaN or an infinity takes no part. Rows that repeat an id and a vector count once; one id
     with two vectors is two rows of which the nearer counts. Ascents end at `candidates` over all trees, or
-    `share` times the number of vectors if that is more, or at the bucket. Vectors without clusters, whose nearest
+    `share` times the number of vectors if that is more, or at the root, where all are candidates. Vectors without clusters, whose nearest
     neighbours are hardly nearer than others, need such a share for a recall of 0.9; clustered ones can do with 0. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -204,7 +209,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 64, ca
     # A class of equal vectors asks once; its id is that of its entry.
     questions = cut(asked.select("h", "g").distinct().join(entries.select("h", "g", "id", "vector"), ["h", "g"]))
     size = entries.count()
-    depth = int(np.clip(np.floor(np.log2(max(1, size) / AIM)), 0, DEEPEST))
+    wanted = max(candidates, int(share * size))
+    depth = int(np.clip(np.floor(np.log2(max(1, size) / max(AIM, 2 * wanted / trees))), 0, DEEPEST))
     index = entries.select("id", "vector")
     counted = index.mapInArrow(_placed(trees, seed, depth, None, False), PLACED).groupBy("bucket").count().where(F.col("count") > SHARE)
     shares = {r["bucket"]: -(-r["count"] // SHARE) for r in counted.collect()}  # at most trees * 2^DEEPEST
@@ -213,11 +219,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 64, ca
     def sorted_(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
-    blank = questions.select("id", F.lit(0).alias("stop"), "vector")
+    blank = questions.select("id", F.lit(-1).alias("stop"), "vector")
     both = index_rows.drop("vector").unionByName(blank.mapInArrow(_placed(trees, seed, depth, shares, True), PLACED).drop("vector"))
     levels = [f"n{j}" for j in range(LEVELS)]
     totals = sorted_(both).mapInArrow(_counts(depth), "id long, " + ", ".join(f"{n} long" for n in levels)).groupBy("id").agg(*[F.sum(n).alias(n) for n in levels])
-    stop = F.coalesce(*[F.when(F.col(levels[j]) >= max(candidates, int(share * size)), F.lit(min(BITS, depth + j))) for j in reversed(range(LEVELS))], F.lit(depth))
+    stop = F.coalesce(*[F.when(F.col(levels[j]) >= wanted, F.lit(min(BITS, depth + j))) for j in reversed(range(LEVELS))], F.lit(0))
     stopped = questions.join(totals.select("id", stop.alias("stop")), "id").select("id", "stop", "vector")
     again = index_rows.unionByName(stopped.mapInArrow(_placed(trees, seed, depth, shares, True), PLACED))
     # Coarse scores pick twice as many as are asked for from each bucket and four times as many of all; exact ones decide.

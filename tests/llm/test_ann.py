@@ -62,6 +62,16 @@ def test_buckets_and_shares(spark, monkeypatch):
     assert len(right) >= 0.9 * len(want)
 
 
+def test_share_is_met_whatever_the_size(spark, monkeypatch):
+    monkeypatch.setattr(ann, "AIM", 4)
+    rnd = np.random.default_rng(2)
+    rows = [(i, rnd.standard_normal(32).astype(np.float32).tolist()) for i in range(3000)]
+    want, got = brute(rows), found(table(spark, rows), candidates=10, share=0.5)
+    assert len({(q, i) for q, _, i, _ in want} & {(q, i) for q, _, i, _ in got}) >= 0.9 * len(want)
+    rows += [(i, rnd.standard_normal(8).astype(np.float32).tolist()) for i in range(3000, 3200)]  # fewer than the share
+    assert {x for x in found(table(spark, rows), candidates=10, share=0.5) if x[0] >= 3000} == {x for x in brute(rows) if x[0] >= 3000}
+
+
 @pytest.mark.parametrize("length", [1, 17, 62])
 def test_prefix_ranges(length):
     keys = np.sort(np.random.default_rng(length).integers(0, 1 << 62, 500, dtype=np.uint64))
