@@ -3,7 +3,7 @@
 Each tree hashes a vector to a long string of bits, the sides of random hyperplanes, and keeps the strings in a sorted
 array. A query descends to the longest prefix that it shares with any string of each tree; then all trees ascend
 together, bit by bit, until enough candidates share the prefix, so that the prefix is as long as the data near the query
-allow. Candidates are ranked by exact cosine.
+allow. Candidates are ranked by exact cosine, in their buckets: none is left out for a rounded score.
 
 Arrays are cut at their first few bits into buckets (as many as give some thousand vectors each, but so few that all
 trees' buckets of a query hold twice the candidates asked for; depth zero on small tables), and a bucket that holds more
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from helixframe.llm.common import cut, n_partitions
 
@@ -46,33 +47,23 @@ def strings(vectors: np.ndarray, trees: int, seed: int) -> np.ndarray:
     return out
 
 
-def coarse(v: np.ndarray) -> bytes:
-    """A byte for each component, of 1/127 of the largest: enough to rank candidates before the exact cosine."""
-    return np.rint(v / np.abs(v).max() * 127).astype(np.int8).tobytes()
-
-
-def _units(raw: list[bytes]) -> np.ndarray:
-    """Coarse vectors of one length, as rows of length 1."""
-    v = np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1).astype(np.float32)
-    return v / np.sqrt((v * v).sum(1, keepdims=True))
-
-
 def _by_dim(vectors: list[np.ndarray]) -> Iterator[np.ndarray]:
     dims = np.array([len(v) for v in vectors])
     for d in np.unique(dims):
         yield np.flatnonzero(dims == d)
 
 
-def _placed(trees: int, seed: int, depth: int, shares: dict[int, int] | None, query: bool) -> Callable:
+def _placed(trees: int, seed: int, depth: int, shares: dict[int, int] | None, query: bool, kind: str) -> Callable:
     """(bucket, kind, id, string[, stop], vector): entries in one share of each tree's bucket, queries in all of them. A
-    query that stops at the root is in all buckets of the first tree instead. Without stops, queries are to be counted."""
+    query that stops at the root is in all buckets of the first tree instead. Without stops, queries are to be counted. Vectors
+    are sent as numbers of `kind`, which holds the table's exactly."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
             stops = batch.column("stop").to_numpy() if query else np.full(len(ids), -1, np.int32)
             vectors = [np.frombuffer(v, "<f8") for v in batch.column("vector").to_pylist()]
-            raw = [coarse(v) for v in vectors]
+            raw = [v.astype(kind).tobytes() for v in vectors]
             for some in _by_dim(vectors) if vectors else ():
                 x = np.stack([vectors[i] for i in some])
                 s = strings(x, trees, seed)
@@ -90,9 +81,10 @@ def _placed(trees: int, seed: int, depth: int, shares: dict[int, int] | None, qu
                         home, s, row = home[of] * 65536 + k, s[of], row[of]
                     else:
                         home = home * 65536 + (ids[some][row] * 0x9E3779B1 >> 8) % n
-                for a in range(0, len(home), 4096):
-                    r = some[row[a : a + 4096]]
-                    arrays = [pa.array(home[a : a + 4096]), pa.array(np.full(len(r), int(query), np.int32)), pa.array(ids[r]), pa.array(s[a : a + 4096].view(np.int64)), pa.array(stops[r].astype(np.int32)), pa.array([raw[i] for i in r], pa.binary())]
+                step = int(np.clip((1 << 21) // x.shape[1], 1, 4096))
+                for a in range(0, len(home), step):
+                    r = some[row[a : a + step]]
+                    arrays = [pa.array(home[a : a + step]), pa.array(np.full(len(r), int(query), np.int32)), pa.array(ids[r]), pa.array(s[a : a + step].view(np.int64)), pa.array(stops[r].astype(np.int32)), pa.array([raw[i] for i in r], pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, ["bucket", "kind", "id", "string", "stop", "vector"])
 
     return run
@@ -108,7 +100,7 @@ def _range(keys: np.ndarray, s: np.ndarray, length: np.ndarray | int) -> tuple[n
     return np.searchsorted(keys, low), np.searchsorted(keys, low + (np.uint64(1) << rest))
 
 
-def _stream(batches: Iterable[pa.RecordBatch], answer: Callable) -> Iterator[pa.RecordBatch]:
+def _stream(batches: Iterable[pa.RecordBatch], answer: Callable, kind: str = "<f8") -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket, entries before queries: answer(keys, ids, vectors, queries' batch) for each part."""
     now, entries, index = None, [], None
     for batch in batches:
@@ -126,7 +118,7 @@ def _stream(batches: Iterable[pa.RecordBatch], answer: Callable) -> Iterator[pa.
                 keys = rows.column("string").to_numpy().astype(np.int64).view(np.uint64)
                 order = np.argsort(keys, kind="stable")
                 held = rows.column("vector").to_pylist() if "vector" in rows.schema.names else []
-                vectors = _units(held)[order] if held else np.zeros((0, 0))
+                vectors = _matrix([held[i] for i in order], kind) if held else np.zeros((0, 0))
                 index = keys[order], rows.column("id").to_numpy()[order], vectors
             yield answer(*index, part)
 
@@ -148,29 +140,43 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
-def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = ([np.frombuffer(v, "<f8") for v in batch.column(n).to_pylist()] for n in ("vector", "other"))
-        score = np.zeros(len(a))
-        for some in _by_dim(a) if a else ():
-            score[some] = cosines(np.stack([a[i] for i in some]), np.stack([b[i] for i in some]))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("near"), pa.array(score)], ["id", "near", "score"])
+def _matrix(raw: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+
 
+def top(q: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and cosines of the `keep` rows nearest to q, ties by the smaller id.
+
+    A product in any order of summing picks rows; it is off by less than (dimensions + 8) roundings, so all within twice
+    that of the last place are compared by the cosine itself.
+    """
+    some = np.arange(len(vectors))
+    if len(some) > keep:
+        rough = vectors @ (q / np.sqrt(q @ q)) / lengths
+        least = np.partition(rough, len(rough) - keep)[len(rough) - keep]
+        some = np.flatnonzero(rough >= least - 2 * (len(q) + 8) * np.finfo(np.float64).eps)
+    score = cosines(vectors[some], q[None])
+    best = np.lexsort((ids[some], -score))[:keep]
+    return some[best], score[best]
+
+
+def _best(keep: int, kind: str) -> Callable:
+    held: list = [None, None]  # an index and its vectors' lengths
 
-def _best(keep: int) -> Callable:
     def answer(keys: np.ndarray, ids: np.ndarray, vectors: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        if held[0] is not vectors:
+            held[:] = vectors, np.sqrt((vectors * vectors).sum(1))
         first, last = _range(keys, part.column("string").to_numpy().view(np.uint64), part.column("stop").to_numpy())
-        questions = _units(part.column("vector").to_pylist())
-        near, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-        for q, a, b in zip(questions, first.tolist(), last.tolist(), strict=True):
-            score = vectors[a:b] @ q if b > a else scores[0]
-            top = np.argpartition(score, len(score) - keep)[-keep:] if len(score) > keep else np.arange(len(score))
-            near.append(ids[a + top])
-            scores.append(score[top])
+        near, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for q, a, b in zip(_matrix(part.column("vector").to_pylist(), kind), first.tolist(), last.tolist(), strict=True):
+            if b > a:
+                rows, score = top(q, vectors[a:b], held[1][a:b], ids[a:b], keep)
+                near.append(ids[a + rows])
+                scores.append(score)
         asked = np.repeat(part.column("id").to_numpy(), np.minimum(np.maximum(last - first, 0), keep))
-        return pa.RecordBatch.from_arrays([pa.array(asked), pa.array(np.concatenate(near)), pa.array(np.concatenate(scores).astype(np.float64))], ["id", "near", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(asked), pa.array(np.concatenate(near)), pa.array(np.concatenate(scores))], ["id", "near", "score"])
 
-    return lambda batches: _stream(batches, answer)
+    return lambda batches: _stream(batches, answer, kind)
 
 
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +205,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 64, ca
     """
     spark = vectors.sparkSession
     parts = n_partitions(spark)
+    kind = "<f4" if vectors.schema[vector_col].dataType == ArrayType(FloatType(), vectors.schema[vector_col].dataType.containsNull) else "<f8"
     rows = vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(_packed, "vec_id long, vector binary")
     # Two hashes name a vector; of its ids the k + 1 smallest can appear in a result.
     named = cut(rows.select("vec_id", "vector", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("g")))
@@ -212,28 +219,25 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = 64, ca
     wanted = max(candidates, int(share * size))
     depth = int(np.clip(np.floor(np.log2(max(1, size) / max(AIM, 2 * wanted / trees))), 0, DEEPEST))
     index = entries.select("id", "vector")
-    counted = index.mapInArrow(_placed(trees, seed, depth, None, False), PLACED).groupBy("bucket").count().where(F.col("count") > SHARE)
+    counted = index.mapInArrow(_placed(trees, seed, depth, None, False, kind), PLACED).groupBy("bucket").count().where(F.col("count") > SHARE)
     shares = {r["bucket"]: -(-r["count"] // SHARE) for r in counted.collect()}  # at most trees * 2^DEEPEST
-    index_rows = index.mapInArrow(_placed(trees, seed, depth, shares, False), PLACED)
+    index_rows = index.mapInArrow(_placed(trees, seed, depth, shares, False, kind), PLACED)
 
     def sorted_(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
     blank = questions.select("id", F.lit(-1).alias("stop"), "vector")
-    both = index_rows.drop("vector").unionByName(blank.mapInArrow(_placed(trees, seed, depth, shares, True), PLACED).drop("vector"))
+    both = index_rows.drop("vector").unionByName(blank.mapInArrow(_placed(trees, seed, depth, shares, True, kind), PLACED).drop("vector"))
     levels = [f"n{j}" for j in range(LEVELS)]
     totals = sorted_(both).mapInArrow(_counts(depth), "id long, " + ", ".join(f"{n} long" for n in levels)).groupBy("id").agg(*[F.sum(n).alias(n) for n in levels])
     stop = F.coalesce(*[F.when(F.col(levels[j]) >= wanted, F.lit(min(BITS, depth + j))) for j in reversed(range(LEVELS))], F.lit(0))
     stopped = questions.join(totals.select("id", stop.alias("stop")), "id").select("id", "stop", "vector")
-    again = index_rows.unionByName(stopped.mapInArrow(_placed(trees, seed, depth, shares, True), PLACED))
-    # Coarse scores pick twice as many as are asked for from each bucket and four times as many of all; exact ones decide.
-    found = sorted_(again).mapInArrow(_best(2 * (k + 1)), "id long, near long, score double")
+    again = index_rows.unionByName(stopped.mapInArrow(_placed(trees, seed, depth, shares, True, kind), PLACED))
+    # The nearest of all candidates are among the nearest of each bucket, whose cosines are exact.
+    found = sorted_(again).mapInArrow(_best(k + 1, kind), "id long, near long, score double")
     best = found.groupBy("id", "near").agg(F.max("score").alias("score"))
-    some = best.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "near"))).where(F.col("r") <= 4 * (k + 1)).select("id", "near")
-    paired = some.join(questions.select("id", "vector"), "id").join(entries.select(F.col("id").alias("near"), F.col("vector").alias("other")), "near")
-    exact = paired.select("id", "near", "vector", "other").mapInArrow(_exact, "id long, near long, score double")
-    top = exact.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "near"))).where(F.col("r") <= k + 1)
-    lists = top.join(entries.select(F.col("id").alias("near"), "ids"), "near").groupBy("id").agg(F.collect_list(F.struct(F.negative("score").alias("less"), "ids")).alias("found"))
+    nearest_ = best.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "near"))).where(F.col("r") <= k + 1)
+    lists = nearest_.join(entries.select(F.col("id").alias("near"), "ids"), "near").groupBy("id").agg(F.collect_list(F.struct(F.negative("score").alias("less"), "ids")).alias("found"))
     flat = F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct(f["less"].alias("less"), i.alias("vec_id")))))
     ranked = lists.select("id", F.slice(F.sort_array(flat), 1, (k + 1) * (k + 1)).alias("found"))
     member = asked.join(entries.select("h", "g", "id"), ["h", "g"]).select(F.col("vec_id").alias("query_id"), "id").distinct()

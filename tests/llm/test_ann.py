@@ -72,6 +72,15 @@ def test_share_is_met_whatever_the_size(spark, monkeypatch):
     assert {x for x in found(table(spark, rows), candidates=10, share=0.5) if x[0] >= 3000} == {x for x in brute(rows) if x[0] >= 3000}
 
 
+def test_near_copies_are_told_apart(spark):
+    rnd = np.random.default_rng(3)
+    centre = rnd.standard_normal(64)
+    rows = [(i, (centre + 0.003 * rnd.standard_normal(64)).astype(np.float32).tolist()) for i in range(500)]
+    rows += [(1000 + i, (np.array(rows[i][1], np.float32) * 2).tolist()) for i in range(30)]  # equal but for the length
+    got, want = found(table(spark, rows), candidates=4000), brute(rows)
+    assert len({(q, i) for q, _, i, _ in want} & {(q, i) for q, _, i, _ in got}) >= 0.99 * len(want)
+
+
 @pytest.mark.parametrize("length", [1, 17, 62])
 def test_prefix_ranges(length):
     keys = np.sort(np.random.default_rng(length).integers(0, 1 << 62, 500, dtype=np.uint64))
