@@ -8,6 +8,9 @@ from collections.abc import Callable
 
 import numpy as np
 
+#: Added tokens of the public vocabulary, which a file of ranks does not list.
+SPECIAL = {"<|endoftext|>": 50256}
+
 
 def public_path(name: str) -> str:
     import public_tokenizers
@@ -16,19 +19,21 @@ def public_path(name: str) -> str:
 
 
 @functools.cache
-def encoder(path: str) -> Callable[[str], np.ndarray]:
+def encoder(path: str, special: bool = True) -> Callable[[str], np.ndarray]:
     """Text to ids (uint32). A .json file is read by tokenizers; a .tiktoken file of ranks by tiktoken, which gives the
-    same ids for the same vocabulary, several times faster. Strings of special tokens are ordinary text."""
+    same ids for the same vocabulary, several times faster. The string of the special token is that token, as it is to
+    tokenizers by default, or ordinary text if not `special`."""
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
+        model.encode_special_tokens = not special
         return lambda text: np.array(model.encode(text, add_special_tokens=False).ids, np.uint32)
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    coding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(coding.encode_ordinary(text), np.uint32)
+    coding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    encode = functools.partial(coding.encode, allowed_special="all") if special else coding.encode_ordinary
+    return lambda text: np.array(encode(text), np.uint32)

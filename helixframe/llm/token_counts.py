@@ -104,7 +104,7 @@ def edited_counts(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, s
     names = "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_chars_encoded_again long, edited_text string"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, special=False)
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for value in batch.column(1):

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from helixframe.llm import packing, token_counts
 from helixframe.llm.encoders import encoder, public_path
@@ -20,6 +21,15 @@ def test_both_readers_agree():
         assert one(text).tolist() == two(text).tolist(), text
 
 
+def test_packed_ids_are_those_of_the_named_reader(docs):
+    model, rnd = Tokenizer.from_file(JSON), random.Random(1)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", *("".join(rnd.choice(PIECES) for _ in range(40)) for _ in range(100))]
+    rows = sorted(packing.pack(docs(*enumerate(texts))).collect(), key=lambda r: (r.doc_id, r.start))
+    for i, text in enumerate(texts):
+        ids = np.frombuffer(b"".join(r.ids for r in rows if r.doc_id == i), "<u4").tolist()
+        assert ids == [*model.encode(text, add_special_tokens=False).ids, 1], text
+
+
 @pytest.mark.parametrize("leaf", [1, 8, 512])
 def test_edits(leaf):
     rnd, encode = random.Random(leaf), encoder(public_path("byte_bpe_50k.tiktoken"))
