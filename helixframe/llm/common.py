@@ -10,11 +10,25 @@ from pyspark.sql import functions as F
 
 from helixframe.plans.checkpoints import cut
 
-__all__ = ["cut", "n_partitions", "rows_of", "spread", "texts_of"]
+__all__ = ["cut", "n_partitions", "rows_of", "spread", "steady", "texts_of"]
 
+#: Bytes of input to a partition of a shuffle at most; with what an operator adds, a task sorts a gigabyte or two.
+PART_BYTES = 256 << 20
 
-def n_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+def n_partitions(docs: DataFrame | SparkSession) -> int:
+    """spark.sql.shuffle.partitions, or more if the plan's estimate of docs' size asks for them."""
+    spark = docs if isinstance(docs, SparkSession) else docs.sparkSession
+    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if docs is spark:
+        return least
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 60 else max(least, -(-size // PART_BYTES))  # a plan without statistics has a size beyond all bounds
+
+
+def steady(docs: DataFrame) -> DataFrame:
+    """docs with rows that come in the same order each time: what follows a shuffle is checkpointed."""
+    return cut(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
 
 
 def spread(df: DataFrame, parts: int, bucket: str) -> DataFrame:

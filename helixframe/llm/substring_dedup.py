@@ -9,9 +9,8 @@ that starts, in both documents, at a cover position. Only |D| of every v positio
    96-bit hash of all of these; every one but the first in (document, start) order is a repeat;
 3. words under repeats are removed.
 
-Each pack first settles what it can by itself and sends one anchor or window of a kind, so the hashes of a passage that a
-third of all documents hold arrive as one row a pack. A reducing task holds its range of hashes, some 40 bytes for each anchor or
-window sent to it: spark.sql.shuffle.partitions bounds it.
+A row travels for each different anchor or window of a pack, so a passage that a third of all documents hold is one row
+a pack, and Spark's sorts and windows, which spill, find what is shared: no task holds a range of hashes in memory.
 """
 
 from __future__ import annotations
@@ -22,15 +21,18 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from helixframe.llm.common import n_partitions, rows_of, spread
-from helixframe.llm.packs import Pack, packs, squeezed, unsqueezed
-from helixframe.llm.spans import window_hashes
+from helixframe.llm.common import n_partitions, rows_of, steady
+from helixframe.llm.packs import Pack, packs
+from helixframe.llm.spans import Texts, mixed, window_hashes
 
 #: Perfect difference covers, by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-SENT = "bucket long, pack_id long, settled boolean, keys binary, keys2 binary, pos binary, docs binary"
-ANSWER = "pack_id long, pos binary"
+#: Anchors; windows (h2 holds 32 more bits of hash above the window's place in its pack). A row whose run is not 0 stands
+#: for that many windows from its place on, of which the pack itself knows that they are repeats.
+ANCHOR, WINDOW = "h long, pack_id long, pos int, told boolean", "h long, h2 long, doc_id long, pack_id long, run int"
 
 
 def cover_of(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -39,26 +41,6 @@ def cover_of(window: int) -> tuple[int, tuple[int, ...], int]:
     return period, COVERS[period], window - period + 1
 
 
-def _sent(number: int, buckets: int, keys: np.ndarray, pos: np.ndarray, settled: np.ndarray, flags: np.ndarray | None, keys2: np.ndarray | None = None, docs: bytes | None = None) -> Iterator[dict]:
-    """Rows of one pack: its open keys by bucket, and positions that need no answer."""
-    if len(settled):
-        yield {"bucket": number % buckets, "pack_id": number, "settled": True, "keys": None, "keys2": None, "pos": squeezed(np.sort(settled)), "docs": None}
-    home = (keys >> np.uint64(40)) % np.uint64(buckets)
-    order = np.lexsort((pos, home))
-    home = home[order]
-    for part in np.split(order, np.flatnonzero(home[1:] != home[:-1]) + 1) if len(order) else ():
-        yield {
-            "bucket": int((int(keys[part[0]]) >> 40) % buckets), "pack_id": number, "settled": False, "keys": keys[part].tobytes(),
-            "keys2": flags[part].tobytes() if keys2 is None else keys2[part].tobytes(), "pos": squeezed(pos[part]), "docs": docs,
-        }
-
-
-def _frame(rows: list[dict], names: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
-    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in names.split(", "))])
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
-
-
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by keys (the first leads, ties keep their order) and, in that order, where groups begin."""
     order = np.lexsort(keys[::-1])
@@ -68,124 +50,63 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _anchors(window: int, buckets: int) -> Callable:
+def _anchors_of(texts: Texts, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a pack's different anchors: hash and first place; then all places of those that it holds more than once."""
     period, cover, length = cover_of(window)
     at = np.isin(np.arange(period), cover)
+    rel, count = texts.place()
+    pos = np.flatnonzero(at[rel % period] & (count >= window) & (count - rel >= length))
+    keys = window_hashes(words, length)[pos] if len(pos) else np.zeros(0, np.uint64)
+    order, new = _groups(keys)
+    size = np.diff(np.flatnonzero(np.append(new, True)))
+    one = order[new]
+    return keys[one], pos[one], pos[order[np.repeat(size > 1, size)]]
 
+
+def _anchors(window: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, body in rows_of(batches):
             texts = Pack(body).texts
-            rel, count = texts.place()
-            pos = np.flatnonzero(at[rel % period] & (count >= window) & (count - rel >= length))
-            keys = window_hashes(texts.hashes(), length)[pos] if len(pos) else np.zeros(0, np.uint64)
-            order, new = _groups(keys)
-            size = np.diff(np.flatnonzero(np.append(new, True)))
-            many = np.repeat(size > 1, size)
-            one = order[new]
-            yield _frame(list(_sent(number, buckets, keys[one], pos[one], pos[order[many]], (size > 1).astype(np.uint8))), SENT)
+            keys, pos, many = _anchors_of(texts, texts.hashes(), window)
+            told = np.isin(pos, many)
+            columns = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), number)), pa.array(pos.astype(np.int32)), pa.array(told)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "pack_id", "pos", "told"])
 
     return run
 
 
-def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[dict]]]:
-    """The rows of each bucket, and the answers that were settled before."""
-    held, done, now = [], [], None
-    for bucket, number, settled, keys, keys2, pos, docs in rows_of(batches):
-        if bucket != now:
-            if now is not None:
-                yield held, done
-            held, done, now = [], [], bucket
-        if settled:
-            done.append({"pack_id": number, "pos": pos})
-        else:
-            held.append((number, keys, keys2, pos, docs))
-    if now is not None:
-        yield held, done
-
-
-def _answers(numbers: np.ndarray, pos: np.ndarray) -> Iterator[dict]:
-    order = np.lexsort((pos, numbers))
-    numbers, pos = numbers[order], pos[order]
-    edges = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1], [True]))) if len(order) else np.zeros(1, int)
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield {"pack_id": int(numbers[a]), "pos": squeezed(pos[a:b])}
-
-
-def _meet_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors that another pack holds too."""
-    for held, done in _by_bucket(batches):
-        if held:
-            keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _, _, _ in held])
-            told = np.concatenate([np.frombuffer(f, np.uint8) for _, _, f, _, _ in held]).astype(bool)
-            pos = np.concatenate([unsqueezed(p) for _, _, _, p, _ in held])
-            numbers = np.repeat([n for n, *_ in held], [len(k) // 8 for _, k, *_ in held])
-            order, new = _groups(keys)
-            size = np.diff(np.flatnonzero(np.append(new, True)))
-            hit = order[np.repeat(size > 1, size)]
-            hit = hit[~told[hit]]
-            done += _answers(numbers[hit], pos[hit])
-        yield _frame(done, ANSWER)
-
-
-def _positions(answers: pa.Table) -> np.ndarray:
-    found = [unsqueezed(p) for p in answers.column("pos").to_pylist()]
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
-
-
-def _windows(window: int, buckets: int) -> Callable:
+def _windows(window: int) -> Callable:
+    """Windows over an anchor that occurs elsewhere too, each different one of a pack once."""
     period, _, _ = cover_of(window)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[dict] = []
-        if left.num_rows and right.num_rows:
-            number, pack = left.column("pack_id")[0].as_py(), Pack(left.column("body")[0].as_py())
-            texts, at = pack.texts, _positions(right)
-            rel, count = texts.place()
-            step = np.zeros(len(rel) + 1, np.int64)
-            np.add.at(step, np.maximum(at - period + 1, 0), 1)
-            np.add.at(step, at + 1, -1)
-            pos = np.flatnonzero((np.cumsum(step)[:-1] > 0) & (count - rel >= window))
-            words = texts.hashes()
-            if len(pos):
-                keys = window_hashes(words, window)[pos]
-                keys2 = (window_hashes(words, window, 0x9FB21C651E98DF25)[pos] >> np.uint64(32)).astype(np.uint32)
-                order, new = _groups(keys, keys2)
-                one = order[new]
-                docs = np.stack([texts.first[:-1], pack.ids], 1)[texts.count > 0].astype("<i8")
-                rows += _sent(number, buckets, keys[one], pos[one], pos[order[~new]], None, keys2[one], _doc_table(docs))
-        return pa.Table.from_batches([_frame(rows, SENT)])
-
-    return run
-
-
-def _doc_table(docs: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=3).compress(np.diff(docs, axis=0, prepend=0).T.astype("<i8").tobytes())
-
-
-def _doc_of(table: bytes, pos: np.ndarray) -> np.ndarray:
-    import zstandard
-
-    first, ids = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(table), "<i8").reshape(2, -1), axis=1)
-    return ids[np.searchsorted(first, pos, "right") - 1]
-
-
-def _meet_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows whose words also start earlier."""
-    for held, done in _by_bucket(batches):
-        if held:
-            keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, *_ in held])
-            keys2 = np.concatenate([np.frombuffer(k, np.uint32) for _, _, k, _, _ in held])
-            places = [unsqueezed(p) for _, _, _, p, _ in held]
-            ids = np.concatenate([_doc_of(t, p) for (_, _, _, _, t), p in zip(held, places, strict=True)])
-            pos = np.concatenate(places)
-            numbers = np.repeat([n for n, *_ in held], [len(p) for p in places])
-            order = np.lexsort((pos, numbers, ids, keys2, keys))
-            a, b = keys[order], keys2[order]
-            later = order[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])]
-            done += _answers(numbers[later], pos[later])
-        yield _frame(done, ANSWER)
+        number, pack = left.column("pack_id")[0].as_py(), Pack(left.column("body")[0].as_py())
+        pos, keys, keys2 = _open_windows(pack.texts, window, right.column("pos").to_numpy().astype(np.int64), period)
+        order, new = _groups(keys, keys2)
+        one, rest = pos[order[new]], np.sort(pos[order[~new]])
+        first = rest[np.diff(rest, prepend=-2) != 1]
+        last = rest[np.diff(rest, append=np.iinfo(np.int64).max) != 1]
+        h = np.concatenate((keys[order[new]], mixed(first.astype(np.uint64) ^ np.uint64(number * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))))
+        h2 = np.concatenate((keys2[order[new]].astype(np.int64), np.zeros(len(first), np.int64))) << 32 | np.concatenate((one, first))
+        docs = pack.ids[np.searchsorted(pack.texts.first, np.concatenate((one, first)), "right") - 1]
+        runs = np.concatenate((np.zeros(len(one), np.int32), (last - first + 1).astype(np.int32)))
+        return pa.table({"h": h.view(np.int64), "h2": h2, "doc_id": docs, "pack_id": np.full(len(h), number), "run": runs})
+
+    return lambda left, right: run(left, right) if left.num_rows else pa.table({n: pa.array([], pa.int32() if n == "run" else pa.int64()) for n in ("h", "h2", "doc_id", "pack_id", "run")})
+
+
+def _open_windows(texts: Texts, window: int, at: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place and two hashes of each window over an anchor that occurs more than once, here or (at) elsewhere."""
+    words = texts.hashes()
+    at = np.union1d(at, _anchors_of(texts, words, window)[2])
+    rel, count = texts.place()
+    step = np.zeros(len(rel) + 1, np.int64)
+    np.add.at(step, np.maximum(at - period + 1, 0), 1)
+    np.add.at(step, at + 1, -1)
+    pos = np.flatnonzero((np.cumsum(step)[:-1] > 0) & (count - rel >= window))
+    if not len(pos):
+        return pos, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    return pos, window_hashes(words, window)[pos], (window_hashes(words, window, 0x9FB21C651E98DF25)[pos] >> np.uint64(32)).astype(np.uint32)
 
 
 def _removed(window: int) -> Callable:
@@ -194,9 +115,9 @@ def _removed(window: int) -> Callable:
         for body in left.column("body").to_pylist():
             pack = Pack(body)
             step = np.zeros(len(pack.texts.starts) + 1, np.int64)
-            at = _positions(right)
+            at = right.column("pos").to_numpy()
             np.add.at(step, at, 1)
-            np.add.at(step, at + window, -1)
+            np.add.at(step, at + right.column("n").to_numpy() - 1 + window, -1)
             gone = np.cumsum(step)[:-1] > 0
             lost = np.concatenate(([0], np.cumsum(gone)))[pack.texts.first]
             first = pack.texts.first.tolist()
@@ -224,12 +145,15 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     """
     if window < 2:
         raise ValueError("window must be 2 or more")
-    parts = n_partitions(docs.sparkSession)
-    buckets = parts  # one a task: a pack sends at most a row to each
-    held = packs(docs, id_col, text_col)
-    shared = spread(held.mapInArrow(_anchors(window, buckets), SENT), parts, "bucket").mapInArrow(_meet_anchors, ANSWER)
+    parts = n_partitions(docs)
+    held = packs(steady(docs), id_col, text_col)
     by_pack = held.groupBy("pack_id")
-    sent = by_pack.cogroup(shared.groupBy("pack_id")).applyInArrow(_windows(window, buckets), SENT)
-    repeats = spread(sent, parts, "bucket").mapInArrow(_meet_windows, ANSWER)
+    anchors = held.mapInArrow(_anchors(window), ANCHOR)
+    shared = anchors.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("h"))).where("n > 1 AND NOT told").select("pack_id", "pos")
+    sent = by_pack.cogroup(shared.groupBy("pack_id")).applyInArrow(_windows(window), WINDOW)
+    # Rows are dealt by h alone, so that h2 need not be split before they travel.
+    kind = W.partitionBy("h", F.shiftright("h2", 32), F.col("run") > 0).orderBy("doc_id", "pack_id", "h2")
+    later = sent.repartition(parts, "h").withColumn("n", F.row_number().over(kind)).where("run > 0 OR n > 1")
+    repeats = later.select("pack_id", F.col("h2").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), F.greatest("run", F.lit(1)).alias("n"))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     return by_pack.cogroup(repeats.groupBy("pack_id")).applyInArrow(_removed(window), out)
