@@ -32,8 +32,8 @@ def steady(docs: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, parts: int, bucket: str) -> DataFrame:
-    """Send bucket number b to partition b modulo parts, then sort each partition by bucket (spilling as needed)."""
-    return df.repartitionById(parts, F.pmod(F.col(bucket), F.lit(parts)).cast("int")).sortWithinPartitions(bucket)
+    """Send bucket number b to partition b modulo parts."""
+    return df.repartitionById(parts, F.pmod(F.col(bucket), F.lit(parts)).cast("int"))
 
 
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:

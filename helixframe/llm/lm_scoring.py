@@ -1,15 +1,19 @@
-"""Stupid-backoff scores of documents under n-gram counts of the whole corpus.
+"""Stupid-backoff scores of documents under n-gram counts of all other documents.
 
-    S(w | context) = count(context w) / count(context)     if the n-gram is in the table
+    S(w | context) = count(context w) / count(context)     if another document holds the n-gram
                    = 0.4 S(w | context less its first word) otherwise
-    S(w)           = count(w) / words of the corpus
-
-Tables of order 2 and more hold n-grams that occur min_count times or more: what a document alone says once is no
-evidence for it. Documents travel in packs. Each pack sends the different n-grams it holds, as sorted hashes with counts, to
-the partition of their hash range; there they meet, are counted, and the counts go back to the packs in the same
-order, where each document's n-grams are joined to them and summed. An n-gram of order 3 or more is sent only if both
-its parts of the order below are in the table, as it can't be otherwise, and occur in other packs too, as its own
-count is known otherwise.
+    S(w)           = count(w) / words of the other documents, or 0.4 of one word if none of them holds w
+
+Counts are those of the whole corpus, of every n-gram, less those of the document that is scored: else every n-gram of
+a document would be in the tables and nothing would ever back off. Documents travel in packs. Each pack sends the
+different n-grams it holds, as sorted hashes with counts, to the partition of their hash range; there they are counted,
+and the counts go back to the packs, where each document's n-grams are joined to them and summed. A row for each
+n-gram and pack would be the plain relational form; it is packed into a row for each range and pack, as some 30 bytes a word
+would travel otherwise (README). An n-gram of order 3 or more is sent only if other documents hold both its parts of the order
+below, as no other document can hold it otherwise, and other packs too, as its count is known otherwise.
+
+The ranges of a partition are cut again before they are counted, so that a task holds a small part of its partition
+at a time; Spark sorts the parts and spills.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import cut, n_partitions, rows_of, spread
+from helixframe.llm.common import cut, n_partitions, rows_of, spread, steady
 from helixframe.llm.packs import Pack, packs
 from helixframe.llm.spans import mixed, window_hashes
 
 #: Larger packs repeat themselves more, so that fewer n-grams are sent.
 PACK_BYTES = 1 << 22
+#: Parts into which the ranges of a partition are cut before they are counted.
+PARTS = 16
 SENT = "bucket long, pack_id long, part long, n long, keys binary, counts binary"
 ANSWER = "pack_id long, part long, counts binary"
 _KINDS = {"long": pa.int64(), "binary": pa.binary()}
@@ -55,87 +61,105 @@ def keys_in(raw: bytes) -> np.ndarray:
 
 
 def numbers_out(n: np.ndarray) -> bytes:
-    """Numbers under 2^32, as four planes of bytes of which the upper ones are nearly empty."""
-    return zstandard.ZstdCompressor(level=1).compress(n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    """As eight planes of bytes, of which the upper ones are nearly empty."""
+    return zstandard.ZstdCompressor(level=1).compress(n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def numbers_in(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
 class Asked:
-    """Different keys of some places, ascending; what each occurs here; which of them other packs may hold."""
+    """Different keys of some places, ascending; what each occurs here, and in the document of each place; which keys other
+    packs may hold."""
 
-    def __init__(self, keys: np.ndarray, remote: np.ndarray | None = None) -> None:
+    def __init__(self, keys: np.ndarray, docs: np.ndarray, remote: np.ndarray | None = None) -> None:
         self.keys, self.which = np.unique(keys, return_inverse=True)
         self.times = np.bincount(self.which, minlength=len(self.keys))
+        _, of, n = np.unique(self.which * (int(docs.max(initial=0)) + 1) + docs, return_inverse=True, return_counts=True)
+        self.own = n[of]
         self.remote = np.ones(len(self.keys), bool)
         if remote is not None:
             self.remote[self.which] = remote
 
-    def at_places(self, answer: np.ndarray) -> np.ndarray:
+    def at_places(self, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences in other documents, and whether some are in other packs."""
         total = self.times.copy()
         total[self.remote] = answer
-        return total[self.which]
+        return total[self.which] - self.own, (total > self.times)[self.which]
 
 
 class Grams:
-    """The n-grams of a pack: keys at each word, by order (0 where a document ends too soon), and their counts, in this pack
-    and in the corpus."""
+    """The n-grams of a pack: keys at each word, by order (0 where a document ends too soon); how often other documents hold
+    them, and whether documents of other packs do."""
 
     def __init__(self, pack: Pack, order: int) -> None:
         self.words = pack.texts.hashes()
         self.rel, self.count = pack.texts.place()
-        self.keys, self.here, self.total = {}, {}, {}
+        self.doc = np.repeat(np.arange(len(pack.texts.count)), pack.texts.count)
+        self.keys, self.others, self.away = {}, {}, {}
         for n in range(1, order + 1):
             keys = np.zeros(len(self.words), np.uint64)
             if len(keys) >= n:
                 keys[: len(keys) - n + 1] = mixed(window_hashes(self.words, n) + np.uint64(n)) | np.uint64(1)
             self.keys[n] = np.where(self.count - self.rel >= n, keys, np.uint64(0))
 
-    def ask(self, step: int, min_count: int) -> tuple[Asked, np.ndarray]:
+    def ask(self, step: int) -> tuple[Asked, np.ndarray]:
         """What step asks for, and at which words; step 2 is for words and pairs, others need the counts of the last."""
         if step == 2:
             pairs = np.flatnonzero(self.keys[2])
-            return Asked(np.concatenate((self.keys[1], self.keys[2][pairs]))), pairs
-        lower, elsewhere = self.total[step - 1] >= min_count, self.total[step - 1] > self.here[step - 1]
+            return Asked(np.concatenate((self.keys[1], self.keys[2][pairs])), np.concatenate((self.doc, self.doc[pairs]))), pairs
         after = lambda x: np.append(x[1:], np.zeros(min(1, len(x)), bool))
+        lower, away = self.others[step - 1] > 0, self.away[step - 1]
         places = np.flatnonzero((self.keys[step] > 0) & lower & after(lower))
-        return Asked(self.keys[step][places], (elsewhere & after(elsewhere))[places]), places
+        return Asked(self.keys[step][places], self.doc[places], (away & after(away))[places]), places
 
-    def learn(self, step: int, answer: np.ndarray, min_count: int) -> None:
-        asked, places = self.ask(step, min_count)
-        total, here, n = asked.at_places(answer), asked.times[asked.which], len(self.words)
+    def learn(self, step: int, answer: np.ndarray) -> None:
+        asked, places = self.ask(step)
+        others, away = asked.at_places(answer)
+        n = len(self.words)
         if step == 2:
-            self.total[1], self.here[1] = total[:n], here[:n]
-            total, here = total[n:], here[n:]
-        for table, x in ((self.total, total), (self.here, here)):
-            table[step] = np.zeros(n, np.int64)
-            table[step][places] = x
+            self.others[1], self.away[1] = others[:n], away[:n]
+            others, away = others[n:], away[n:]
+        self.others[step], self.away[step] = np.zeros(n, np.int64), np.zeros(n, bool)
+        self.others[step][places], self.away[step][places] = others, away
 
 
-def _known(grams: Grams, answers: list[list[tuple[int, bytes]]], min_count: int) -> None:
+def _known(grams: Grams, answers: list[list[tuple[int, bytes]]]) -> None:
     for step, found in enumerate(answers, 2):
-        grams.learn(step, np.concatenate([np.zeros(0, np.int64), *(numbers_in(c) for _, c in sorted(found or []))]), min_count)
+        grams.learn(step, np.concatenate([np.zeros(0, np.int64), *(numbers_in(c) for _, c in sorted(found or []))]))
 
 
-def _sends(step: int, buckets: int, min_count: int) -> Callable:
+def _cut_up(keys: np.ndarray, times: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
+    """Parts of ascending keys by range of their upper half."""
+    home = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1], [True]))) if len(home) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(home[a]), slice(a, b)
+
+
+def _sends(step: int, buckets: int) -> Callable:
     """Rows for each bucket; the batch holds pack_id, body and the answers to each step before."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, body, *answers in _packs_of(batches):
             grams = Grams(Pack(body), step)
-            _known(grams, answers, min_count)
-            asked, _ = grams.ask(step, min_count)
+            _known(grams, answers)
+            asked, _ = grams.ask(step)
             keys, times = asked.keys[asked.remote], asked.times[asked.remote]
-            home = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            edges = np.searchsorted(home, np.arange(buckets + 1))
-            rows = []
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                part = slice(edges[b], edges[b + 1])
-                rows.append((b, number, b, int(edges[b + 1] - edges[b]), keys_out(keys[part]), numbers_out(times[part])))
-            yield _batch(rows, SENT)
+            yield _batch([(b, number, b, part.stop - part.start, keys_out(keys[part]), numbers_out(times[part])) for b, part in _cut_up(keys, times, buckets)], SENT)
+
+    return run
+
+
+def _smaller(buckets: int) -> Callable:
+    """The rows of a partition, each cut into PARTS."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, number, _, _, keys, times in rows_of(batches):
+            k, n = keys_in(keys), numbers_in(times)
+            yield _batch([(b, number, b, part.stop - part.start, keys_out(k[part]), numbers_out(n[part])) for b, part in _cut_up(k, n, buckets * PARTS)], SENT)
 
     return run
 
@@ -160,9 +184,9 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.append(True, keys[order][1:] != keys[order][:-1])
         which = np.empty(len(keys), np.int64)
         which[order] = np.cumsum(new) - 1
-        total = np.bincount(which, weights=times).astype(np.int64)[which]
+        total = np.add.reduceat(times[order], np.flatnonzero(new))[which]
         ends = np.cumsum([n for *_, n, _, _ in held])
-        return [(number, part, numbers_out(np.minimum(t, 0xFFFFFFFF))) for (_, number, part, *_), t in zip(held, np.split(total, ends[:-1]), strict=True)]
+        return [(number, part, numbers_out(t)) for (_, number, part, *_), t in zip(held, np.split(total, ends[:-1]), strict=True)]
 
     held, now = [], None
     for row in rows_of(batches):
@@ -173,14 +197,15 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(totals(held), ANSWER)
 
 
-def _scored(order: int, min_count: int, alpha: float) -> Callable:
+def _scored(order: int, least: int, alpha: float) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, body, *answers in _packs_of(batches):
             pack = Pack(body)
             grams = Grams(pack, order)
-            _known(grams, answers, min_count)
-            n_words, counts = len(grams.words), grams.total
-            log = np.log(np.maximum(counts[1], 1))  # less the logarithm of the corpus size, where no n-gram is found
+            _known(grams, answers)
+            n_words, counts = len(grams.words), grams.others
+            # Less the logarithm of the corpus size, where no n-gram is found.
+            log = np.where(counts[1] > 0, np.log(np.maximum(counts[1], 1)), np.log(alpha))
             bare = np.ones(n_words, bool)
             for n in range(2, order + 1):
                 able = grams.rel >= n - 1
@@ -189,7 +214,7 @@ def _scored(order: int, min_count: int, alpha: float) -> Callable:
                 if n_words >= n:
                     times[n - 1 :] = counts[n][: n_words - n + 1]
                     under[n - 1 :] = counts[n - 1][: n_words - n + 1]
-                hit = able & (times >= min_count)
+                hit = able & (times >= least)
                 log = np.where(hit, np.log(np.maximum(times, 1) / np.maximum(under, 1)), np.where(able, log + np.log(alpha), log))
                 bare &= ~hit
             first = pack.texts.first.tolist()
@@ -201,23 +226,25 @@ def _scored(order: int, min_count: int, alpha: float) -> Callable:
     return run
 
 
-def score(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, order: int = 3, min_count: int = 1, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) for each row of docs: the sum of ln S over its words, and the mean.
 
     Words are runs of characters other than white space, unchanged; n-grams don't cross documents. Counts are over all
-    rows of docs, also repeated ones. Texts that are null, empty or without a word score 0, with a null mean. A null id
-    stays null. An empty table gives an empty result.
+    rows of docs but the scored one; of rows that are repeated, each counts for the others. min_count above 1 prunes: n-grams
+    of order 2 and more that other documents hold less often back off. Texts that are null, empty or without a word
+    score 0, with a null mean. A null id stays null. A lone document is scored as if there were one other word. An empty table gives
+    an empty result.
     """
-    if order < 2:
-        raise ValueError("order must be 2 or more")
-    parts = n_partitions(docs.sparkSession)
-    buckets = parts
-    held = packs(docs, id_col, text_col, PACK_BYTES)
+    if order < 2 or min_count < 1:
+        raise ValueError("order must be 2 or more, min_count 1 or more")
+    parts = n_partitions(docs)
+    held = packs(steady(docs), id_col, text_col, PACK_BYTES)
     for step in range(2, order + 1):
-        answers = spread(held.mapInArrow(_sends(step, buckets, min_count), SENT), parts, "bucket").mapInArrow(_met, ANSWER)
+        sent = spread(held.mapInArrow(_sends(step, parts), SENT), parts, "bucket")
+        answers = sent.mapInArrow(_smaller(parts), SENT).sortWithinPartitions("bucket").mapInArrow(_met, ANSWER)
         by_pack = answers.groupBy("pack_id").agg(F.collect_list(F.struct("part", "counts")).alias(f"answers{step}"))
         held = held.join(by_pack.hint("merge"), "pack_id", "left")  # never broadcast; all sides are partitioned by pack_id
     found = cut(held.mapInArrow(_scored(order, min_count, alpha), "doc_id long, n_words long, n_bare long, part double"))
-    words = found.agg(F.sum("n_words")).first()[0] or 1
-    total = F.col("part") - F.col("n_bare") * F.log(F.lit(float(words)))
+    words = found.agg(F.sum("n_words")).first()[0] or 0
+    total = F.col("part") - F.col("n_bare") * F.log(F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)).cast("double"))
     return found.select("doc_id", "n_words", total.alias("log_score"), F.try_divide(total, F.col("n_words")).alias("mean_log_score"))

@@ -86,18 +86,19 @@ _OP6 = rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 q AS (SELECT doc_id, unnest(words) AS c, unnest([NULL] || words[:-2]) AS b, unnest([NULL, NULL] || words[:-3]) AS a FROM w WHERE len(words) > 0),
 p AS (SELECT * FROM q WHERE c IS NOT NULL),
-n1 AS (SELECT c AS x, count(*) AS n FROM p GROUP BY c),
-n2 AS (SELECT b AS x, c AS y, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY ALL),
-n3 AS (SELECT a AS x, b AS y, c AS z, count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY ALL),
-total AS (SELECT sum(n)::DOUBLE AS n FROM n1),
+d1 AS (SELECT doc_id, x, sum(k) OVER (PARTITION BY x) - k AS n FROM (SELECT doc_id, c AS x, count(*) AS k FROM p GROUP BY ALL)),
+d2 AS (SELECT doc_id, x, y, sum(k) OVER (PARTITION BY x, y) - k AS n FROM (SELECT doc_id, b AS x, c AS y, count(*) AS k FROM p WHERE b IS NOT NULL GROUP BY ALL)),
+d3 AS (SELECT doc_id, x, y, z, sum(k) OVER (PARTITION BY x, y, z) - k AS n FROM (SELECT doc_id, a AS x, b AS y, c AS z, count(*) AS k FROM p WHERE a IS NOT NULL GROUP BY ALL)),
+total AS (SELECT doc_id, greatest(sum(len(words)) OVER () - len(words), 1)::DOUBLE AS n FROM w),
 s AS (
-  SELECT doc_id, CASE
-    WHEN n3.n >= 2 THEN ln(n3.n::DOUBLE / ctx.n)
+  SELECT p.doc_id, CASE
+    WHEN d3.n >= 1 THEN ln(d3.n::DOUBLE / ctx.n)
     ELSE (CASE WHEN a IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END) + CASE
-      WHEN n2.n >= 2 THEN ln(n2.n::DOUBLE / one.n)
-      ELSE (CASE WHEN b IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END) + ln(n1.n::DOUBLE / total.n) END END AS l
-  FROM p CROSS JOIN total JOIN n1 ON n1.x = c LEFT JOIN n1 AS one ON one.x = b LEFT JOIN n2 ON n2.x = b AND n2.y = c
-  LEFT JOIN n2 AS ctx ON ctx.x = a AND ctx.y = b LEFT JOIN n3 ON n3.x = a AND n3.y = b AND n3.z = c)
+      WHEN d2.n >= 1 THEN ln(d2.n::DOUBLE / one.n)
+      ELSE (CASE WHEN b IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END) + ln((CASE WHEN d1.n > 0 THEN d1.n ELSE 0.4 END)::DOUBLE / total.n) END END AS l
+  FROM p JOIN total ON total.doc_id = p.doc_id JOIN d1 ON d1.doc_id = p.doc_id AND d1.x = c LEFT JOIN d1 AS one ON one.doc_id = p.doc_id AND one.x = b
+  LEFT JOIN d2 ON d2.doc_id = p.doc_id AND d2.x = b AND d2.y = c LEFT JOIN d2 AS ctx ON ctx.doc_id = p.doc_id AND ctx.x = a AND ctx.y = b
+  LEFT JOIN d3 ON d3.doc_id = p.doc_id AND d3.x = a AND d3.y = b AND d3.z = c)
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, round(coalesce(l, 0), 4) AS log_score, round(l / len(w.words), 4) AS mean_log_score
 FROM w LEFT JOIN (SELECT doc_id, sum(l) AS l FROM s GROUP BY doc_id) USING (doc_id)
 """

@@ -13,23 +13,26 @@ import xxhash
 from helixframe.llm import lm_scoring, mixing, packs, simhash
 
 
-def lm_brute(texts, order, least=2):
-    counts = Counter()
+def lm_brute(texts, order, least=1):
+    grams = []
     for t in texts:
         w = (t or "").encode().split()
-        for n in range(1, order + 1):
-            counts.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-    total = sum(c for k, c in counts.items() if len(k) == 1)
-
-    def s(context, w):
-        if not context:
-            return counts[w,] / total
-        whole = (*context, w)
-        return counts[whole] / counts[context] if counts[whole] >= least else 0.4 * s(context[1:], w)
-
+        grams.append(Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)))
+    whole = Counter()
+    for g in grams:
+        whole.update(g)
     out = []
-    for t in texts:
+    for t, own in zip(texts, grams, strict=True):
         w = (t or "").encode().split()
+        count = lambda k: whole[k] - own[k]  # noqa: B023, E731
+        total = max(1, sum(c for k, c in whole.items() if len(k) == 1) - len(w))
+
+        def s(context, x):
+            if not context:
+                return (count((x,)) or 0.4) / total  # noqa: B023
+            n = count((*context, x))  # noqa: B023
+            return n / count(context) if n >= least else 0.4 * s(context[1:], x)  # noqa: B023
+
         out.append(sum(math.log(s(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in range(len(w))))
     return out
 
@@ -43,6 +46,9 @@ def test_scores(docs, monkeypatch, order):
     for i, want in enumerate(lm_brute(texts, order)):
         assert out[i].log_score == pytest.approx(want, abs=1e-8)
         assert out[i].mean_log_score == (pytest.approx(want / out[i].n_words) if out[i].n_words else None)
+    pruned = {r.doc_id: r.log_score for r in lm_scoring.score(docs(*enumerate(texts)), order, min_count=3).collect()}
+    for i, want in enumerate(lm_brute(texts, order, 3)):
+        assert pruned[i] == pytest.approx(want, abs=1e-8)
 
 
 def test_lm_edges(odd, none):
@@ -55,11 +61,18 @@ def test_lm_edges(odd, none):
         lm_scoring.score(none, 1)
 
 
+def test_lm_shuffled_rows(docs):
+    """Input that follows a shuffle is settled before packs are numbered."""
+    texts = [f"a b c{i % 7} d e{i % 5}" for i in range(40)]
+    out = {r.doc_id: r.log_score for r in lm_scoring.score(docs(*enumerate(texts)).repartition(5, "text")).collect()}
+    assert np.allclose([out[i] for i in range(40)], lm_brute(texts, 3))
+
+
 def test_codes():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 999, dtype=np.uint64) * np.uint64(2))
     for k in (keys, keys[:1], np.arange(5, dtype=np.uint64)):
         assert np.array_equal(lm_scoring.keys_in(lm_scoring.keys_out(k)), k)
-    n = np.array([1, 300, 70_000, (1 << 32) - 1])
+    n = np.array([1, 300, 70_000, (1 << 32) - 1, 1 << 40])
     assert np.array_equal(lm_scoring.numbers_in(lm_scoring.numbers_out(n)), n)
     pack = packs.Pack(packs.freeze([5, None, 2], [b"b c", None, "é".encode()]))
     assert pack.id_list() == [2, 5, None] and pack.raw == ["é".encode(), b"b c", b""]
