@@ -7,6 +7,7 @@ import functools
 from collections.abc import Callable
 
 import numpy as np
+import regex
 
 #: Added tokens of the public vocabulary, which a file of ranks does not list.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -18,6 +19,14 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.cache
+def pattern() -> regex.Pattern:
+    """The vocabulary's pattern of pre-tokens, which no token crosses."""
+    import public_tokenizers
+
+    return regex.compile(public_tokenizers.PATTERN)
+
+
 @functools.cache
 def encoder(path: str, special: bool = True) -> Callable[[str], np.ndarray]:
     """Text to ids (uint32). A .json file is read by tokenizers; a .tiktoken file of ranks by tiktoken, which gives the

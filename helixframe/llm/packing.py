@@ -1,7 +1,7 @@
 """Cost-balanced packing of token sequences.
 
 A piece of n tokens costs linear * n + quadratic * n^2 (attention within its document). Windows of a few million
-tokens are packed one after another within each input partition, so nothing is shuffled and memory is bounded. In a
+tokens and a hundred thousand documents are packed one after another within each input partition, so nothing is shuffled and memory is bounded. In a
 window there are as many sequences as its tokens fill; documents go, in descending order of length, to the sequence of
 the lowest cost that has room for them. Those that fit nowhere are cut to fill the remaining room. What is left over
 512 is laid out as sequences of a power of two, which need no padding, so the layout pads nothing.
@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.encoders import encoder, public_path
 
-WINDOW = 1 << 22
+#: Tokens and documents of a window at most (a document of any length is whole).
+WINDOW, DOCUMENTS = 1 << 22, 1 << 17
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def layout(lengths: np.ndarray, room: int = 2048, linear: float = 1.0, quadratic: float = 1 / 2048) -> list[tuple[int, int, int, int]]:
-    """(document, start, length, sequence) of each piece; pieces of a sequence are listed in order of offset."""
+    """(document, start, length, sequence) of each piece; pieces of a sequence are listed in order of offset. Equal lengths
+    go by document number; a length of 0 has no piece, and no lengths give none."""
     total = int(lengths.sum())
     free = [room] * (total // room) + [1 << b for b in range(room.bit_length() - 1, -1, -1) if total % room >> b & 1]
     left, cost = np.array(free, np.int64), np.zeros(len(free))
@@ -98,7 +100,7 @@ def pack(docs: DataFrame, room: int = 2048, path: str | None = None, end_id: int
                 ids.append(i)
                 tokens.append(np.append(encode(text.as_py() or ""), end))
                 held += len(tokens[-1])
-                if held >= window:
+                if held >= window or len(ids) >= DOCUMENTS:
                     yield packed()
                     ids, tokens, held = [], [], 0
         if ids:

@@ -30,13 +30,18 @@ def test_packed_ids_are_those_of_the_named_reader(docs):
         assert ids == [*model.encode(text, add_special_tokens=False).ids, 1], text
 
 
-@pytest.mark.parametrize("leaf", [1, 8, 512])
-def test_edits(leaf):
-    rnd, encode = random.Random(leaf), encoder(public_path("byte_bpe_50k.tiktoken"))
-    for _ in range(150):
+def counts():
+    encode = encoder(public_path("byte_bpe_50k.tiktoken"), special=False)
+    return token_counts.Counts(lambda t: len(encode(t)))
+
+
+def test_edits():
+    rnd, encode = random.Random(5), encoder(public_path("byte_bpe_50k.tiktoken"), special=False)
+    for _ in range(1500):
         text = "".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 60)))
-        tree = token_counts.TokenTree(text, lambda t: len(encode(t)), leaf)
-        for _ in range(5):
+        tree = token_counts.TokenTree(text, counts())
+        assert tree.n_tokens == len(encode(text))
+        for _ in range(6):
             a = rnd.randint(0, len(text))
             b = rnd.randint(a, min(len(text), a + 9))
             new = "".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 4)))
@@ -45,11 +50,12 @@ def test_edits(leaf):
             assert tree.text() == text and tree.n_tokens == len(encode(text))
 
 
-def test_an_edit_encodes_little():
-    encode = encoder(public_path("byte_bpe_50k.tiktoken"))
-    tree = token_counts.TokenTree("some words here " * 5000, lambda t: len(encode(t)))
-    tree.edit(40_000, 40_003, "new")
-    assert tree.encoded < 2000
+@pytest.mark.parametrize("text", ["some words here " * 5000, "some words " * 36, "line\n" * 80, "two  spaces  each " * 25, "tab\tand\n\nnewline\r\n" * 20, "a,b;c!" * 60])
+def test_an_edit_encodes_its_neighbourhood_alone(text):
+    tree = token_counts.TokenTree(text, counts())
+    at = len(text) // 2
+    tree.edit(at, at + 3, "new")
+    assert 0 < tree.encoded < 40
     with pytest.raises(ValueError):
         tree.edit(5, 10**6, "")
 
@@ -97,6 +103,12 @@ def test_round_trip(docs, window):
         assert [r.start for r in pieces] == [0, *np.cumsum([r.length for r in pieces])[:-1]] and {r.doc_tokens for r in pieces} == {len(ids)}
 
 
+def test_windows_bound_documents(docs, monkeypatch):
+    monkeypatch.setattr(packing, "DOCUMENTS", 10)
+    out, padding = held(docs(*[(i, None) for i in range(95)]))
+    assert padding == 0 and len(out) == 95 and not packing.layout(np.zeros(0, np.int64))
+
+
 def test_pack_edges(odd, none):
     out, padding = held(odd)
     assert padding == 0 and {r.doc_tokens for r in out[1] + out[2]} == {1} and None in out and len([r for r in out[4] if r.start == 0]) == 2
