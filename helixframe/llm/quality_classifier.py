@@ -34,6 +34,8 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>{}[]\\^~_=+@!")] = True
 _UPPER, _LETTER, _DIGIT, _MULTI = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = _DIGIT[48:58] = _MULTI[128:] = True
+#: Words of a block, in each of which different words are counted; a rest goes with the last whole one.
+BLOCK = 100
 MEASURES = ("symbols", "upper", "different", "stop", "words", "letters", "lines", "again", "marked")
 
 
@@ -61,9 +63,17 @@ def measured(texts: list[bytes]) -> tuple[np.ndarray, Texts, np.ndarray]:
     edge = np.concatenate(([0], np.cumsum(_SYMBOL[t.buf])))
     marked = edge[t.ends] > edge[t.starts]  # words with a symbol
     out[:, 8] = np.diff(np.concatenate(([0], np.cumsum(marked)))[t.first]) / n
+    # Different words of each hundred, as the whole text's share falls with its length.
+    rel, count = t.place()
+    block = t.first[:-1].repeat(t.count) + np.minimum(rel // BLOCK, np.maximum(count // BLOCK - 1, 0))
+    order = np.lexsort((hashes, block))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (block[order][1:] != block[order][:-1])
+    fresh = np.zeros(len(order), bool)
+    fresh[order] = new
+    out[:, 2] = np.diff(np.concatenate(([0], np.cumsum(fresh)))[t.first]) / n
     pairs = window_hashes(hashes, 4)
     for k, (text, a, b) in enumerate(zip(texts, t.first[:-1].tolist(), t.first[1:].tolist(), strict=True)):
-        out[k, 2] = len(np.unique(hashes[a:b])) / max(1, min(b - a, 400)) if b > a else 0
         lines = [x for x in text.split(b"\n") if x.strip()]
         out[k, 6] = 1 - len(set(lines)) / len(lines) if lines else 0
         four = pairs[a : max(a, b - 3)]
@@ -221,7 +231,7 @@ def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t or b"" for t in texts_of(batch.column(0))]
         for a, b in _few(texts):
             x, v = vectors(texts[a:b])
-            yield pa.RecordBatch.from_pydict({"x": pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), "pattern": pa.array(v @ _PLACES)})
+            yield pa.RecordBatch.from_pydict({"h": batch.column(1).slice(a, b - a), "x": pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), "pattern": pa.array(v @ _PLACES)})
 
 
 @dataclass
@@ -232,25 +242,24 @@ class Classifier:
 
 
 def learn(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Labellers' accuracies from all rows of docs, and a scorer from about `sample` of them, chosen by a hash of their id
-    (twice as many at most; each takes 9 KB of the driver's memory)."""
+    """Labellers' accuracies from all rows of docs, and a scorer from about `sample` of them, those of the least hashes of id
+    and text (twice as many at most, also where rows are repeated; each takes 9 KB of the driver's memory)."""
     text = F.col(text_col).cast("string").alias("text")
     counted = docs.select(text).mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     counted = sorted((r.pattern, r.n) for r in counted)  # at most 3^8 rows
     patterns = np.array([[p // 3**j % 3 for j in range(N_VOTES)] for p, _ in counted], np.int64).reshape(-1, N_VOTES)
     counts = np.array([n for _, n in counted], float)
     labellers, total = estimated(patterns, counts), int(counts.sum())
-    chosen = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30)).alias("h"), text)
+    # 44 bits: equal ones are equal rows, or as good as.
+    chosen = docs.select(text, F.pmod(F.xxhash64(F.col(id_col).cast("long"), text), F.lit(1 << 44)).alias("h"))
     if total > sample:
-        chosen = chosen.where(F.col("h") < int((1 << 30) * sample / total))
-    # limit() only guards against an id that half the rows repeat
-    rows = chosen.select("text").mapInArrow(_vectors, "x binary, pattern long").limit(2 * sample).collect() if total else []
+        chosen = chosen.where(F.col("h") < int((1 << 44) * sample / total))
+    rows = chosen.mapInArrow(_vectors, "h long, x binary, pattern long").orderBy("h", "x").limit(2 * sample).collect() if total else []
     if not rows:
         return Classifier(labellers, np.zeros(SIZE, np.float32), total)
     x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32)
     found = np.array([[r.pattern // 3**j % 3 for j in range(N_VOTES)] for r in rows])
-    order = np.lexsort((x[:, :16].sum(1), found @ _PLACES))  # sums do not depend on the order in which rows came
-    return Classifier(labellers, fitted(x[order], labellers.posterior(found[order])), total)
+    return Classifier(labellers, fitted(x, labellers.posterior(found)), total)
 
 
 def classify(docs: DataFrame, model: Classifier | None = None, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

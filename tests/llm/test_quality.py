@@ -51,6 +51,76 @@ def test_classifier_edges(odd, none):
     assert qc.good_documents(odd).columns == odd.columns
 
 
+def measured_brute(raw):
+    words, symbols = raw.split(), set(b"#*$%&|<>{}[]\\^~_=+@!")
+    visible = [c for c in raw if c not in b" \t\n\x0b\f\r"]
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    letters, n = sum(map(letter, raw)), max(1, len(words))
+    stop = {w.encode() for w in qc.STOP_WORDS.split()}
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    fours = [tuple(words[i : i + 4]) for i in range(len(words) - 3)]
+    cuts = [*range(0, max(1, len(words) // qc.BLOCK) * qc.BLOCK, qc.BLOCK), len(words)]
+    return [
+        sum(c in symbols for c in raw) / max(1, len(visible)), sum(65 <= c <= 90 for c in raw) / max(1, letters), sum(len(set(words[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)) / n,
+        sum(w.lower() in stop for w in words) / n, len(words), letters / max(1, len(visible)), 1 - len(set(lines)) / len(lines) if lines else 0,
+        1 - len(set(fours)) / len(fours) if fours else 0, sum(any(c in symbols for c in w) for w in words) / n,
+    ]
+
+
+def classified_brute(texts):
+    """Every document's votes and expectation-maximisation over documents, then descent on the laid-out features, all plain."""
+    raws = [(t or "").encode() for t in texts]
+    measures = [measured_brute(r) for r in raws]
+    votes = qc.votes(np.array(measures))
+    kinds = [set(), *map(set, qc.SEES)]
+    miss = [[0.03 if c == 0 else 0.7 if j in kinds[c] else 0.1 for j in range(8)] for c in range(4)]
+    share, first = [0.85, 0.05, 0.05, 0.05], [list(r) for r in miss]
+
+    def likely(v):
+        odds = [share[c] * math.prod(miss[c][j] if x == 0 else 1 - miss[c][j] if x == 2 else 1 for j, x in enumerate(v)) for c in range(4)]
+        return [o / sum(odds) for o in odds]
+
+    for _ in range(200):
+        q = [likely(v) for v in votes]
+        for c in range(4):
+            for j in range(8):
+                bad = 20 * first[c][j] + sum(p[c] for p, v in zip(q, votes, strict=True) if v[j] == 0)
+                good = 20 * (1 - first[c][j]) + sum(p[c] for p, v in zip(q, votes, strict=True) if v[j] == 2)
+                miss[c][j] = bad / (bad + good)
+        mass = [sum(p[c] for p in q) + 10 * s for c, s in enumerate((0.85, 0.05, 0.05, 0.05))]
+        share = [m / sum(mass) for m in mass]
+    y = np.array([likely(v)[0] for v in votes])
+    x, _ = qc.vectors(raws)
+    x = x.astype(np.float16).astype(float)
+    w, m1, m2 = np.zeros(qc.SIZE), 0.0, 0.0
+    for k in range(1, 151):
+        grad = x.T @ (1 / (1 + np.exp(-(x @ w))) - y) / len(y) + 1e-4 * w
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+        w -= 0.05 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.999**k)) + 1e-8)
+    return 1 / (1 + np.exp(-(qc.vectors(raws)[0].astype(float) @ w)))
+
+
+def test_classify_brute_force(spark, docs):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet") if DATA.exists() else docs(*[(i, f"some words and the rest of it {i} " * 20) for i in range(150)])
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    out = {r.doc_id: r for r in qc.classify(docs(*rows)).collect()}
+    for (i, t), want in zip(rows, classified_brute([t for _, t in rows]), strict=True):
+        assert out[i].score == pytest.approx(want, abs=2e-3), t
+        assert out[i].kept == (want >= 0.5) or abs(want - 0.5) < 2e-3
+
+
+def test_measures_do_not_depend_on_length():
+    raws = [b"one two three four " * 7, b"", b"w", " ".join(f"w{i * 7919 % 4001}" for i in range(20_000)).encode(), b"a b\na b\n" * 300]
+    assert np.allclose(qc.measured(raws)[0], [measured_brute(r) for r in raws])
+    assert qc.measured(raws[3:4])[0][0, 2] > 0.95, "a long text of many words stays one"
+
+
+def test_sample_does_not_depend_on_partitions(docs):
+    rows = [(None if i % 3 else 5, f"the same and another text {i % 90} with words " * 9) for i in range(600)]
+    one, two = (qc.learn(docs(*rows, parts=p), sample=40).weights for p in (2, 5))
+    assert np.array_equal(one, two)
+
+
 def brute(text):
     text = text or ""
     words = re.findall("[^\x20\x09-\x0d]+", text)
