@@ -8,10 +8,16 @@ entries a fingerprint, and a table of 2^32 values a segment, so unrelated finger
 
 Documents of one fingerprint are joined before; within a table entry a breadth-first search yields a spanning forest
 of the links instead of all pairs.
+
+Shingle sets of a similarity of 0.8 differ in some 10 of 64 bits, beyond what balls can reach, and among many documents
+unrelated fingerprints come as near. without_near_copies() therefore makes WORDS times 64 bits of each shingle hash: there are
+as many more segments, of which one is likely to differ in 2 bits at most, and complete distances tell similar from
+dissimilar texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
@@ -22,27 +28,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import cut, n_partitions, texts_of
+from helixframe.llm.spans import mixed
 from helixframe.operators.graph import components
 
 SEED = 42
+#: 64-bit words of a long fingerprint, and bits in which a word differs at most where a segment of it has met.
+WORDS, WORD_DISTANCE = 4, 9
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """64 bits, each set if it is set in over half the shingles' XXH64; no words: zero."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], "<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
     stops = (ends[shingle - 1 :] - 1).tolist()
     starts = [0, *ends[: len(stops) - 1].tolist()]
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), "<u8", len(stops))
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), "<u8", len(stops))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of hashes (n, words): words whose bits are set if they are set in over half the hashes; none: zero."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """64 bits, each set if it is set in over half the shingles' XXH64; no words: zero."""
+    return int(majority(shingle_hashes(text, shingle)[:, None])[0])
+
+
+def long_fingerprint(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """WORDS words; the first is fingerprint(), the others come from hashes of the shingles' hashes."""
+    h = shingle_hashes(text, shingle)
+    return majority(np.stack([h, *(mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for k in range(1, WORDS))], 1))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,17 +90,20 @@ def _balls(distance: int) -> np.ndarray:
 
 
 def _entries(distance: int) -> Callable:
+    """From words of a fingerprint and its number: (entry, fp, rep), fp being the word that the entry is a segment of."""
     flips = _balls(distance)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                fp = part.column(0).to_numpy().view(np.uint64)
-                low, high = fp & np.uint64(0xFFFFFFFF), fp >> np.uint64(32)
-                values = np.concatenate([(low[:, None] ^ flips).ravel(), ((high[:, None] ^ flips) | np.uint64(1 << 32)).ravel()])
-                again = [np.tile(np.repeat(c.to_numpy(), len(flips)), 2) for c in part.columns]
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *map(pa.array, again)], ["entry", "fp", "rep"])
+                rep = np.repeat(part.column(part.num_columns - 1).to_numpy(), len(flips))
+                for j in range(part.num_columns - 1):
+                    fp = part.column(j).to_numpy()
+                    bits = fp.view(np.uint64)
+                    for half, values in enumerate((bits & np.uint64(0xFFFFFFFF), bits >> np.uint64(32))):
+                        entry = (values[:, None] ^ flips | np.uint64((2 * j + half) << 32)).ravel().view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(np.repeat(fp, len(flips))), pa.array(rep)], ["entry", "fp", "rep"])
 
     return run
 
@@ -136,13 +162,61 @@ def _verified(distance: int) -> Callable:
     return run
 
 
+def _met(reps: DataFrame, within: int, distance: int) -> DataFrame:
+    """(a, b) of fingerprints that differ in `distance` bits at most in a word of which a segment meets; reps: words, number."""
+    entries = reps.mapInArrow(_entries(within), "entry long, fp long, rep long")
+    sorted_ = entries.repartition(n_partitions(reps), "entry").sortWithinPartitions("entry", "fp")
+    return sorted_.mapInArrow(_verified(distance), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def simhash_links(reps: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b): links that join the same components as all pairs within `distance` bits; reps: (fp, rep)."""
     if not 0 <= distance <= 9:
         raise ValueError("distance must be from 0 to 9; the balls grow with its half")
-    entries = reps.mapInArrow(_entries(distance), "entry long, fp long, rep long")
-    sorted_ = entries.repartition(n_partitions(reps.sparkSession), "entry").sortWithinPartitions("entry", "fp")
-    return sorted_.mapInArrow(_verified(distance), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return _met(reps, distance, distance)
+
+
+def bits_apart(similarity: float) -> int:
+    """Bits in which long fingerprints of sets of that similarity (and like size) differ, and one standard deviation."""
+    n, p = 64 * WORDS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(n * p + math.sqrt(n * p * (1 - p)))
+
+
+def long_links(reps: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): verified links; reps: (w0, w1, ..., rep)."""
+    words = [f"w{k}" for k in range(WORDS)]
+    met = _met(reps.select(*words, "rep"), 4, WORD_DISTANCE)
+    side = lambda x: reps.select(F.col("rep").alias(x), *[F.col(w).alias(f"{x}{w}") for w in words])
+    apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words[1:]), F.bit_count(F.col("aw0").bitwiseXOR(F.col("bw0"))))
+    return met.join(side("a"), "a").join(side("b"), "b").where(apart <= bits_apart(similarity)).select("a", "b")
+
+
+def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of texts whose shingle sets have that similarity or more: that of the smallest id.
+
+    Links join groups. Null ids come last, rows of one id go by a hash of all their columns; of rows that agree in every
+    column one stays. Rows that share an id but not a text are different documents. Texts without a word, null ones among
+    them, are copies of each other. Similar texts are found with a likelihood that grows with their similarity (README).
+    An empty table gives an empty result; column names don't matter.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that no name clashes
+    plain = docs.toDF(*names).select(*names, F.xxhash64(*names).alias("h"), F.xxhash64(F.lit(1), *names).alias("g"))
+    id_, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    words = [f"w{k}" for k in range(WORDS)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([long_fingerprint(t, shingle) for t in texts_of(batch.column(3))], np.uint64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(w).view(np.int64)) for w in prints.T)], ["id", "h", "g", *words])
+
+    given = plain.select(F.col(id_).cast("long").alias("id"), "h", "g", F.col(text).cast("string").alias("text"))
+    found = given.mapInArrow(run, "id long, h long, g long, " + ", ".join(f"{w} long" for w in words))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h", "g")).alias("first")
+    reps = cut(found.groupBy(*words).agg(first)).withColumn("rep", F.monotonically_increasing_id())  # over a checkpoint, so it stays
+    roots = components(long_links(reps, similarity)).withColumnsRenamed({"node": "rep", "component": "root"})
+    kept = reps.select("rep", "first").join(roots, "rep", "left").groupBy(F.coalesce("root", "rep").alias("root")).agg(F.min("first").alias("first"))
+    chosen = kept.select(F.col("first.h").alias("h"), F.col("first.g").alias("g")).distinct()
+    return plain.join(chosen, ["h", "g"]).dropDuplicates(["h", "g"]).select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

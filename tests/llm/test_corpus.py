@@ -188,3 +188,58 @@ def test_simhash_edges(odd, none):
         out[r.doc_id].add(r.component_id)
     assert out[1] == out[2] == out[3] == {1} and out[4] == {4} and out[None] == {None}
     assert simhash.near_duplicates(none).count() == 0
+
+
+def shingles(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) > k else {tuple(w)}
+
+
+def test_near_copies_go(docs, odd, none):
+    rnd = random.Random(9)
+    word = lambda: rnd.choice(["alpha", "beta", "Gamma", "delta", "eps", "zeta"]) + str(rnd.randint(0, 99))
+    rows = []
+    for i in range(40):
+        words = [word() for _ in range(300)]
+        rows.append((i, " ".join(words)))
+        for j in range(1, 5):
+            near = list(words)
+            for at in rnd.sample(range(300), j):
+                near[at] = word()
+            rows.append((1000 * j + i, " ".join(near)))
+    rows += [(7, "another text of the same id " * 3), (7, "another text of the same id " * 3), (None, "no id at all, but a text"), (None, "no id at all, but a text"), (9000, rows[0][1])]
+    kept = simhash.without_near_copies(docs(*rows)).collect()
+    clusters = {r.doc_id for r in kept} - {None}
+    assert set(range(40)) <= clusters and len(kept) == len(set(map(tuple, kept)))
+    assert sum(r.doc_id == 7 for r in kept) == 2 and sum(r.doc_id is None for r in kept) == 1 and 9000 not in clusters
+    caught = total = 0
+    for i in range(40):
+        for j in range(1, 5):
+            a, b = shingles(rows[5 * i][1]), shingles(rows[5 * i + j][1])
+            if len(a & b) / len(a | b) >= 0.9:
+                total += 1
+                caught += 1000 * j + i not in clusters
+    assert total > 50 and caught >= 0.9 * total
+    assert {r.doc_id for r in simhash.without_near_copies(odd).collect()} == {1, None, 4, 5, 6, 7}
+    assert simhash.without_near_copies(none).count() == 0
+
+
+def test_long_fingerprints():
+    assert int(simhash.long_fingerprint(b"A b c d e f g", 4)[0]) == simhash.fingerprint(b"a b c d e f g", 4) and not simhash.long_fingerprint(None).any()
+    assert simhash.bits_apart(0.8) == 44 and simhash.bits_apart(1.0) == 0
+
+
+def test_repeated_rows_share_their_copies(docs, none):
+    rows = [(None, "three words here", "en", "a")] * 5000 + [(i, "w " * (1 + i % 9), "en", "b") for i in range(2000)]
+    out = mixing.mix(docs(*rows)).collect()
+    assert len(out) == 7000 and all(r.copies <= 2 for r in out)
+    for s in "ab":
+        some = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in some) - some[0].target) <= 9
+    odd_names = docs(*rows[:1], *rows[:1], (1, "x y", "fr", "b"), (1, "p q", "fr", "b")).withColumnsRenamed({"copies": "c0", "of": "times", "size": "n_rows"})
+    held = mixing.copied(odd_names)
+    want = sorted((r.doc_id or -1, r.copies) for r in mixing.mix(odd_names).collect())
+    assert held.columns == odd_names.columns and held.count() == sum(c for _, c in want)
+    texts = Counter(r.text for r in held.collect())
+    assert texts["x y"] + texts["p q"] == sum(c for i, c in want if i == 1) and texts["three words here"] == sum(c for i, c in want if i == -1)
+    assert mixing.copied(none).count() == 0
