@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from helixframe.functions.alphabet import CODE, COMPLEMENT_FROM, COMPLEMENT_TO
 
 FRAMES = ("F1", "F2", "F3", "R1", "R2", "R3")
+#: Residues of a block, the unit in which long sequences are worked on; a multiple of 3, so that no codon is cut.
+BLOCK = 49_152
 #: Stands for "no limit" in headers of truncated sequences.
 UNBOUNDED = 1_000_000_000
 
@@ -57,9 +61,27 @@ def strand(seq: Column, direction: str) -> Column:
     return seq if direction == "F" else reverse_complement(seq)
 
 
-def codons(seq: Column, offset: int = 0) -> Column:
-    """Whole codons from offset on, in upper case."""
-    return F.regexp_extract_all(F.upper(F.substring(seq, offset + 1, 2**31 - 1)), F.lit("(?s).{3}"), F.lit(0))
+def blocks(seq: Column, overlap: int = 0, size: int = BLOCK) -> Column:
+    """The sequence in blocks of `size` residues, each with the next `overlap` residues behind it; an empty one has none.
+
+    Whatever makes a list of residues, words or codons makes it of one block at a time, however long the sequence.
+    """
+    cut = F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
+    return F.when(F.length(seq) == 0, F.array().cast("array<string>")).when(F.length(seq) <= size, F.array(seq)).otherwise(cut)
+
+
+def from_offset(seq: Column, offset: int) -> Column:
+    return F.substring(seq, offset + 1, 2**31 - 1) if offset else seq
+
+
+def codons(seq: Column) -> Column:
+    """Whole codons, in upper case."""
+    return F.regexp_extract_all(F.upper(seq), F.lit("(?s).{3}"), F.lit(0))
+
+
+def by_codon(seq: Column, mark: Callable[[Column], Column]) -> Column:
+    """A mark for each whole codon, as one string, made block by block."""
+    return F.array_join(F.transform(blocks(seq), lambda b: F.array_join(F.transform(codons(b), mark), "")), "")
 
 
 def genetic_code() -> Column:
@@ -72,7 +94,8 @@ def translated(seq: Column, frame: str) -> Column:
     """Protein of a frame F1..F3, R1..R3: X for unknown codons, * for stops; a partial last codon is dropped."""
     if frame not in FRAMES:
         raise ValueError(f"no frame {frame}")
-    return F.array_join(F.transform(codons(strand(seq, frame[0]), int(frame[1]) - 1), lambda c: F.coalesce(F.try_element_at(F.try_element_at(genetic_code(), F.substring(c, 1, 2)), c), F.lit("X"))), "")
+    acid = lambda c: F.coalesce(F.try_element_at(F.try_element_at(genetic_code(), F.substring(c, 1, 2)), c), F.lit("X"))
+    return by_codon(from_offset(strand(seq, frame[0]), int(frame[1]) - 1), acid)
 
 
 def cut_out(seq: Column, begin: Column, length: Column | None = None) -> Column:

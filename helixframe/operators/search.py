@@ -1,21 +1,26 @@
-"""Motifs, open reading frames, homopolymers and regular expressions. All are narrow: nothing is shuffled."""
+"""Motifs, open reading frames, homopolymers and regular expressions. All are narrow: nothing is shuffled.
+
+Lists are taken apart by outer generators, as for others Spark adds a filter that makes every list once more.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
+from re import _parser as sre_parse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
 from helixframe.functions.alphabet import IUPAC, STARTS, STOPS
 
-
-#: Residues of a block, the unit in which parts of long strands are looked up.
-BLOCK = 4096
+#: Residues of a block, the unit in which parts of long strands are looked up; segments of a chunk, in which places are added up.
+BLOCK, CHUNK = 4096, 100
 
 
 class Motif:
@@ -75,28 +80,26 @@ def motif_hits(seqs: DataFrame, pattern: str, mismatches: int = 0, ambiguous: in
     size = len(motif)
     text = F.regexp_replace("seq", "[^A-Za-z]", "")
     comp = S.strict_complement
-    # Whole strands, all from left to right as given; those that run backwards are searched with the motif turned round,
-    # so that a window is only turned where it is a hit.
+    # Strands, all from left to right as given; those that run backwards are searched with the motif turned round, so that
+    # a window is only turned where it is a hit. They are searched in blocks that overlap by a window less one.
+    top = F.col("top")
     if bisulfite:
         bis = lambda c: S.bisulfite(c, fixed and bisulfite == 2)
-        other = F.reverse(bis(S.strict_reverse_complement(text)))
-        strands = {"f": bis(text), "r": other, "u": comp(bis(text)), "v": comp(other)}
+        other = F.reverse(bis(S.strict_reverse_complement(top)))
+        strands = {"f": bis(top), "r": other, "u": comp(bis(top)), "v": comp(other)}
     else:
-        strands = {"f": text, "r": comp(text)}
+        strands = {"f": top, "r": comp(top)}
     backwards = {"r", "u"}
-
-    def windows(d: str, c: Column) -> Column:
-        fits = f".{{{size}}}" if ambiguous else motif.pattern(d in backwards)
-        return F.regexp_extract_all(F.concat(F.lit("X" * n), c), F.lit(f"(?is)(?=(.{{{n}}}{fits}.{{{n}}}))|."), F.lit(1))
-
     core = lambda c: F.substring(c, n + 1, size)
-    each = seqs.select("seq_idx", "header", text.alias("top"), F.explode(F.array(*[F.struct(F.lit(d).alias("dir"), windows(d, c).alias("w")) for d, c in strands.items()])).alias("s"))
-    if ambiguous:  # every place is a candidate, so the given strand's windows are laid beside the others once
-        each = each.select("seq_idx", "header", "s.dir", F.arrays_zip(F.col("s.w").alias("w"), windows("f", F.col("top")).alias("g")).alias("p"))
-        places = each.select("seq_idx", "header", "dir", F.posexplode("p").alias("at", "p")).select("seq_idx", "header", "dir", "at", "p.w", core(F.col("p.g")).alias("window")).where("w <> ''")
-    else:
-        hits = each.select("seq_idx", "header", "top", "s.dir", F.posexplode("s.w").alias("at", "w")).where("w <> ''")
-        places = hits.select("seq_idx", "header", "dir", "at", "w", F.substr("top", F.col("at") + 1, F.lit(size)).alias("window"))
+    each = seqs.select("seq_idx", "header", text.alias("top"), F.explode(F.array(*map(F.lit, strands))).alias("dir"))
+    strand = reduce(lambda out, d: out.when(F.col("dir") == d, strands[d]), list(strands)[1:], F.when(F.col("dir") == "f", strands["f"]))
+    cut = lambda c: S.blocks(F.concat(F.lit("X" * n), c), 2 * n + size - 1)
+    pairs = each.select("seq_idx", "header", "dir", F.posexplode_outer(F.arrays_zip(cut(strand).alias("s"), cut(top).alias("t"))).alias("b", "p"))
+    # A block is read to the end of its last window; windows that begin in the overlap don't fit into it.
+    fits = F.when(F.col("dir").isin(*backwards), F.lit(motif.pattern(True))).otherwise(F.lit(motif.pattern(False))) if not ambiguous else F.lit(f".{{{size}}}")
+    windows = F.regexp_extract_all("p.s", F.concat(F.lit(f"(?is)(?=(.{{{n}}}"), fits, F.lit(f".{{{n}}}))|.")), F.lit(1))
+    hits = pairs.select("seq_idx", "header", "dir", "b", F.col("p.t").alias("t"), F.posexplode_outer(windows).alias("i", "w")).where("w <> ''")
+    places = hits.select("seq_idx", "header", "dir", (F.col("b") * S.BLOCK + F.col("i")).alias("at"), "w", F.substr("t", F.col("i") + n + 1, F.lit(size)).alias("window"))
     buf = F.when(F.col("dir").isin(*backwards), F.reverse("w")).otherwise(F.col("w"))
     places = places.select("seq_idx", "header", "window", "dir", (F.col("at") + 1).alias("pos"), buf.alias("text")).withColumn("up", F.upper(core(F.col("text"))))
     if ambiguous:
@@ -123,24 +126,33 @@ def open_reading_frames(seqs: DataFrame, min_length: int | None = None, starts:
     """(seq_idx, header, frame, start, position, length, start_codon, stop_codon, orf): from the first start codon after a
     stop to the next stop, in each frame; length in nucleotides, without the stop, is 300 by default at least.
 
-    Each frame's codons become a line of marks (S start, T stop, - other). One regular expression passes over it codon by
-    codon and, after each stop, looks ahead to the next one, so that a segment's place is its index: no window, no shuffle,
-    and time in proportion to the sequence. start counts from 0 on the strand, position from 1 on the given strand. whole
-    also reports what begins before or ends after the sequence, with ??? for a codon so near its end.
+    Each frame's codons become a line of marks (S start, T stop, - other), block by block, and the line is cut behind each
+    stop. Segments lie in chunks whose places are added up once, so a segment's place is that of its chunk and the few
+    segments before it there: no window, no shuffle, no list longer than the segments. start counts from 0 on the strand, position from 1
+    on the given strand. whole also reports what begins before or ends after the sequence, with ??? for a codon so near its end.
     """
     least = min_length or 300
     begins = set((starts or ",".join(STARTS)).upper().split(",")) - set(STOPS)
     if any(len(c) != 3 or set(c) - set("ACGT") for c in begins):
         raise ValueError(f"no codons: {starts}")
-    pattern = f"(?:(?<![^T])(?=([^T]*+{'(?:T|$)' if whole else 'T'})))?."
-    found = []
-    for f in frames:
-        text, off = S.strand(F.col("seq"), f[0]), int(f[1]) - 1
-        mark = lambda c: F.when(c.isin(*STOPS), "T").when(c.isin(*begins), "S").otherwise("-")
-        marks = F.array_join(F.transform(S.codons(text, off), mark), "")
-        found.append(F.struct(F.lit(f).alias("frame"), F.lit(off).alias("off"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), marks.alias("marks")))
-    lines = seqs.select("seq_idx", "header", F.length("seq").alias("size"), F.explode(F.array(*found)).alias("f")).select("seq_idx", "header", "size", "f.*")
-    segments = lines.select("seq_idx", "header", "size", "frame", "off", "blocks", F.posexplode(F.regexp_extract_all("marks", F.lit(pattern), F.lit(1))).alias("at", "run")).where("run <> ''")
+    mark = lambda c: F.when(c.isin(*STOPS), "T").when(c.isin(*begins), "S").otherwise("-")
+    each = seqs.select("seq_idx", "header", F.length("seq").alias("size"), "seq", F.explode(F.array(*map(F.lit, frames))).alias("frame"))
+    strand = F.when(F.startswith("frame", F.lit("F")), F.col("seq")).otherwise(S.strand(F.col("seq"), "R"))
+    off = F.substring("frame", 2, 1).cast("int") - 1
+    each = each.select("seq_idx", "header", "size", "frame", off.alias("off"), strand.alias("strand"))
+    marks = S.by_codon(F.substr("strand", F.col("off") + 1), mark)
+    lines = each.select("seq_idx", "header", "size", "frame", "off", S.blocks(F.col("strand"), 0, BLOCK).alias("blocks"), F.regexp_extract_all(marks, F.lit("[^T]*+(?:T|$)"), F.lit(0)).alias("segments"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("segments") - 1) / CHUNK).cast("int")), lambda k: F.slice("segments", k * CHUNK + 1, CHUNK))
+    lines = lines.select("seq_idx", "header", "size", "frame", "off", "blocks", F.when(F.size("segments") > 0, chunks).otherwise(F.array().cast("array<array<string>>")).alias("chunks"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    places = F.aggregate("chunks", start, lambda a, c: F.struct((a["at"] + F.length(F.array_join(c, ""))).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+    lines = lines.select("seq_idx", "header", "size", "frame", "off", "blocks", F.arrays_zip(places.alias("at"), F.col("chunks").alias("runs")).alias("chunks"))
+    held = lines.select("seq_idx", "header", "size", "frame", "off", "blocks", F.explode_outer("chunks").alias("c"))
+    found = held.select("seq_idx", "header", "size", "frame", "off", "blocks", "c", F.posexplode_outer("c.runs").alias("k", "run"))
+    found = found.where(F.length("run") * 3 >= least)
+    found = found if whole else found.where(F.endswith("run", F.lit("T")))
+    at = F.col("c.at") + F.length(F.array_join(F.slice("c.runs", F.lit(1), F.col("k")), ""))
+    segments = found.select("seq_idx", "header", "size", "frame", "off", "blocks", "run", at.alias("at"))
     skip = F.instr("run", "S") - 1
     skip = F.when(F.col("at") == 0, 0).otherwise(skip) if whole else skip
     size = F.col("size")
@@ -191,19 +203,79 @@ def longest_runs(seqs: DataFrame, base: str = "a", min_run: int | None = None, f
     return out.select("seq_idx", "header", F.col("r.best").alias("length"), F.col("r.left").alias("left"), F.col("r.right").alias("remaining"))
 
 
+#: What a pattern can hold that looks beyond its match, or at where the text begins.
+_PLACED = re.compile(r"\(\?<[=!]|(?<!\[)\^|\\[AbBG]")
+_AHEAD = re.compile(r"\(\?[=!]|\$|\\[zZ]")
+
+
+def _widest(pattern: str) -> int | None:
+    """The longest match that a pattern can have, or None if it has no bound, or looks ahead."""
+    if _AHEAD.search(pattern):
+        return None
+    try:
+        most = sre_parse.parse(pattern).getwidth()[1]
+    except re.error:
+        return None
+    return most if 0 < most <= S.BLOCK else None
+
+
+def _grouped(pattern: str) -> str:
+    """The pattern as group 1, its backreferences counted on."""
+    return "(" + re.sub(r"(\\\\)|\\([1-9])", lambda m: m[1] or f"\\{int(m[2]) + 1}", pattern) + ")"
+
+
+def _restarted(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Matches as they are found by searching anew, in what follows the start of each match: there ^ holds again and nothing can
+    be seen behind. For a pattern that looks there no position can be judged by itself."""
+    known = re.compile(pattern.encode(), re.IGNORECASE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for idx, header, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rest, at = memoryview((seq or "").encode()), 0  # slices of it are no copies
+                while (m := known.search(rest)) and m.end() > m.start():
+                    rows.append((idx, header, at + m.start(), bytes(rest[m.start() : m.end()]).decode()))
+                    at, rest = at + m.start() + 1, rest[m.start() + 1 :]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["seq_idx", "header", "offset", "match"])
+
+    return run
+
+
 def regex_matches(seqs: DataFrame, pattern: str, every: bool = False) -> DataFrame:
     """(seq_idx, header, offset, length, match): the first match, or all, also overlapping ones. Case is ignored; matches
-    are of the upper-case sequence; empty ones are none."""
-    places = F.regexp_extract_all(F.upper("seq"), F.lit(f"(?i)(?=({pattern}))|(?s:.)"), F.lit(1))
+    are of the upper-case sequence. The search for all goes on behind the start of each match, where ^ holds again and
+    look-behind sees nothing (such patterns go through Python); it ends at an empty match, and the first may be empty.
+
+    Patterns of bounded length are looked up block by block; others make a list of the length of the sequence.
+    """
+    up = F.upper("seq")
     if not every:
-        found = F.filter(F.transform(places, lambda m, i: F.struct(i.alias("offset"), m.alias("match"))), lambda x: F.length(x["match"]) > 0)
-        hits = seqs.withColumn("m", F.get(found, F.lit(0))).where("m IS NOT NULL").select("seq_idx", "header", "m.*")
+        where, whole = F.regexp_instr(up, F.lit(f"(?i){pattern}")), F.regexp_extract(up, f"(?i){_grouped(pattern)}", 1)
+        hits = seqs.select("seq_idx", "header", (where - 1).alias("offset"), whole.alias("match")).where("offset >= 0")
+    elif _PLACED.search(pattern):
+        hits = seqs.select("seq_idx", "header", up.alias("seq")).mapInArrow(_restarted(pattern), "seq_idx long, header string, offset int, match string")
     else:
-        hits = seqs.select("seq_idx", "header", F.posexplode(places).alias("offset", "match")).where(F.length("match") > 0)
+        most = _widest(pattern)
+        size, overlap = (S.BLOCK, most - 1) if most else (2**30, 0)
+        cut = seqs.select("seq_idx", "header", F.posexplode_outer(S.blocks(up, overlap, size) if most else F.array(up)).alias("b", "block"))
+        places = F.regexp_extract_all("block", F.lit(f"(?i)(?={_grouped(pattern)})|(?s:.)"), F.lit(1))
+        hits = cut.select("seq_idx", "header", "b", F.posexplode_outer(places).alias("i", "match")).where((F.length("match") > 0) & (F.col("i") < size))
+        hits = hits.select("seq_idx", "header", (F.col("b") * size + F.col("i")).alias("offset"), "match")
     return hits.select("seq_idx", "header", "offset", F.length("match").alias("length"), "match")
 
 
 def regex_counts(seqs: DataFrame, pattern: str) -> DataFrame:
-    """(seq_idx, header, n): overlapping matches of each record, also where there are none."""
-    places = F.regexp_extract_all(F.upper("seq"), F.lit(f"(?i)(?=({pattern}))"), F.lit(1))
-    return seqs.select("seq_idx", "header", F.size(F.filter(places, lambda m: F.length(m) > 0)).cast("long").alias("n"))
+    """(seq_idx, header, n): overlapping matches of each record, found as in regex_matches(), also where there are none."""
+    if _PLACED.search(pattern):
+        found = regex_matches(seqs, pattern, every=True).groupBy("seq_idx").agg(F.count(F.lit(1)).alias("n"))
+        return seqs.select("seq_idx", "header").join(found, "seq_idx", "left").fillna(0, ["n"])
+    most = _widest(pattern)
+    up = F.upper("seq")
+    size, overlap = (S.BLOCK, most - 1) if most else (2**30, 0)
+    places = lambda b: F.regexp_extract_all(b, F.lit(f"(?i)(?={_grouped(pattern)})|(?s:.)"), F.lit(1))
+    # Marks of the places of a block alone: 1 where a match begins.
+    n = F.aggregate(S.blocks(up, overlap, size) if most else F.array(up), F.lit(0).cast("long"), lambda a, b: a + F.size(F.filter(F.slice(places(b), 1, size), lambda m: F.length(m) > 0)))
+    return seqs.select("seq_idx", "header", F.coalesce(n, F.lit(0)).alias("n"))

@@ -53,8 +53,12 @@ def composition(seqs: DataFrame, ambiguous: str | None = None, cased: bool = Fal
     return out if zeros else out.where("n > 0")
 
 
-def _words(k: int, letters: str) -> Column:
-    return F.regexp_extract_all(F.upper("seq"), F.lit(f"(?=({letters}{{{k}}}))"), F.lit(1))
+def _words(seqs: DataFrame, keys: list[str], k: int, letters: str) -> DataFrame:
+    """(keys, pos, word): words of k letters and their places from 0 on, also overlapping ones; found block by block."""
+    # Outer generators: for others Spark adds a filter that makes every list once more.
+    cut = seqs.select(*keys, F.posexplode_outer(S.blocks(F.upper("seq"), k - 1)).alias("_b", "_block"))
+    found = F.regexp_extract_all("_block", F.lit(f"(?s)(?=({letters}{{{k}}}))"), F.lit(1))
+    return cut.select(*keys, (F.col("_b").cast("long") * S.BLOCK).alias("_at"), F.posexplode_outer(found).alias("_i", "word")).where("word IS NOT NULL").select(*keys, (F.col("_at") + F.col("_i")).alias("pos"), "word")
 
 
 def kmers(seqs: DataFrame, k: int = 2, by_sequence: bool = False, dense: bool = True) -> DataFrame:
@@ -63,7 +67,7 @@ def kmers(seqs: DataFrame, k: int = 2, by_sequence: bool = False, dense: bool =
     if not 1 <= k <= 10:
         raise ValueError("k must be from 1 to 10")
     keys = ["seq_idx", "header"] if by_sequence else []
-    counts = seqs.select(*keys, F.explode(_words(k, "[ACGT]")).alias("kmer")).groupBy(*keys, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    counts = _words(seqs, keys, k, "[ACGT]").groupBy(*keys, F.col("word").alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
     # A word and its reverse complement meet under the smaller of the two: one aggregation instead of a self-join.
     rc = S.reverse_complement(F.col("kmer"))
     either = counts.withColumn("canon", F.least("kmer", rc)).groupBy(*keys, "canon").agg(
@@ -75,8 +79,10 @@ def kmers(seqs: DataFrame, k: int = 2, by_sequence: bool = False, dense: bool =
     rows = either.withColumn("r", F.explode(F.when(other == F.col("canon"), F.array(one)).otherwise(F.array(one, two)))).select(*keys, "r.*")
     if dense:
         every = seqs.sparkSession.range(4**k).select(S.decoded(F.col("id"), k).alias("kmer"))  # 4^10 rows at most
-        frame = seqs.select(*keys).distinct().crossJoin(every) if by_sequence else every
-        rows = frame.join(rows, [*keys, "kmer"], "left").fillna(0, ["fwd", "rev"])
+        if by_sequence:  # a row of each word for each sequence is what is asked for; words come from a list, not from a join
+            words = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(4**k - 1).cast("long")), lambda i: S.decoded(i, k))
+            every = seqs.select(*keys).distinct().withColumn("kmer", F.explode(words))
+        rows = every.join(rows, [*keys, "kmer"], "left").fillna(0, ["fwd", "rev"])
     # Over 4^k rows at most, or those of a sequence: the sequences are read once.
     rows = rows.withColumn("total", F.sum("fwd").over(W.partitionBy(*keys)))
     pct = lambda x: F.try_divide(x, F.col("total").cast("double"))
@@ -88,7 +94,7 @@ def kmers(seqs: DataFrame, k: int = 2, by_sequence: bool = False, dense: bool =
 
 def ngrams(seqs: DataFrame, k: int = 3, order: str | None = None) -> DataFrame:
     """(ngram, n, pct) of any characters, of records whose header is set. order: None, "count" (ties by word) or "ngram"."""
-    counts = seqs.where(S.is_set(F.col("header"))).select(F.explode(_words(k, ".")).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
+    counts = _words(seqs.where(S.is_set(F.col("header"))), [], k, ".").groupBy(F.col("word").alias("ngram")).agg(F.count(F.lit(1)).alias("n"))
     total = seqs.where(S.is_set(F.col("header"))).agg(F.sum(F.greatest(F.length("seq") - (k - 1), F.lit(0)).cast("long")).alias("total"))
     out = counts.crossJoin(total).select("ngram", "n", F.try_divide(100.0 * F.col("n"), F.col("total")).alias("pct"))  # one row of totals
     return out.orderBy(F.desc("n"), "ngram") if order == "count" else out.orderBy("ngram") if order else out
@@ -96,7 +102,7 @@ def ngrams(seqs: DataFrame, k: int = 3, order: str | None = None) -> DataFrame:
 
 def kmers_by_frame(seqs: DataFrame, k: int = 3, frames: int = 3, percent: bool = False) -> DataFrame:
     """(kmer, f0, f1, ...): counts by position modulo frames, or their shares of the row in percent."""
-    words = seqs.where(S.is_set(F.col("header"))).select(F.posexplode(_words(k, ".")).alias("pos", "kmer"))
+    words = _words(seqs.where(S.is_set(F.col("header"))), [], k, ".").withColumnRenamed("word", "kmer")
     count = lambda f: F.count_if(F.col("pos") % frames == f).alias(f"f{f}")
     out = words.groupBy("kmer").agg(*[count(f) for f in range(frames)])
     if not percent:
@@ -107,7 +113,8 @@ def kmers_by_frame(seqs: DataFrame, k: int = 3, frames: int = 3, percent: bool =
 
 def codon_frequencies(seqs: DataFrame) -> DataFrame:
     """(aa, codon, n, pct, aa_pct) for all 64 codons of frame 1; a share of nothing is null."""
-    found = seqs.select(F.explode(S.codons(F.col("seq"))).alias("codon")).groupBy("codon").agg(F.count(F.lit(1)).alias("n"))
+    cut = seqs.select(F.explode_outer(S.blocks(F.col("seq"))).alias("block"))
+    found = cut.select(F.explode_outer(S.codons(F.col("block"))).alias("codon")).where("codon IS NOT NULL").groupBy("codon").agg(F.count(F.lit(1)).alias("n"))
     table = seqs.sparkSession.createDataFrame(sorted((a, c) for c, a in CODE.items()), "aa string, codon string")
     out = table.join(found, "codon", "left").fillna(0, ["n"])
     share = lambda w: F.try_divide(100.0 * F.col("n"), F.sum("n").over(w))  # noqa: E731  over 64 rows
