@@ -30,9 +30,11 @@ from helixframe.llm.spans import Texts, mixed, window_hashes
 
 #: Perfect difference covers, by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
+#: In larger packs more copies meet before anything is sent.
+PACK_BYTES = 1 << 22
 #: Anchors; windows (h2 holds 32 more bits of hash above the window's place in its pack). A row whose run is not 0 stands
 #: for that many windows from its place on, of which the pack itself knows that they are repeats.
-ANCHOR, WINDOW = "h long, pack_id long, pos int, told boolean", "h long, h2 long, doc_id long, pack_id long, run int"
+ANCHOR, WINDOW = "h long, pack_id long", "h long, h2 long, doc_id long, pack_id long, run int"
 
 
 def cover_of(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -50,27 +52,23 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _anchors_of(texts: Texts, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a pack's different anchors: hash and first place; then all places of those that it holds more than once."""
+def _anchors_of(texts: Texts, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each anchor of a pack."""
     period, cover, length = cover_of(window)
     at = np.isin(np.arange(period), cover)
     rel, count = texts.place()
     pos = np.flatnonzero(at[rel % period] & (count >= window) & (count - rel >= length))
-    keys = window_hashes(words, length)[pos] if len(pos) else np.zeros(0, np.uint64)
-    order, new = _groups(keys)
-    size = np.diff(np.flatnonzero(np.append(new, True)))
-    one = order[new]
-    return keys[one], pos[one], pos[order[np.repeat(size > 1, size)]]
+    return window_hashes(words, length)[pos] if len(pos) else np.zeros(0, np.uint64), pos
 
 
 def _anchors(window: int) -> Callable:
+    """Each different anchor of a pack once."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, body in rows_of(batches):
             texts = Pack(body).texts
-            keys, pos, many = _anchors_of(texts, texts.hashes(), window)
-            told = np.isin(pos, many)
-            columns = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), number)), pa.array(pos.astype(np.int32)), pa.array(told)]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "pack_id", "pos", "told"])
+            keys = np.unique(_anchors_of(texts, texts.hashes(), window)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), number))], ["h", "pack_id"])
 
     return run
 
@@ -81,7 +79,7 @@ def _windows(window: int) -> Callable:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         number, pack = left.column("pack_id")[0].as_py(), Pack(left.column("body")[0].as_py())
-        pos, keys, keys2 = _open_windows(pack.texts, window, right.column("pos").to_numpy().astype(np.int64), period)
+        pos, keys, keys2 = _open_windows(pack.texts, window, right.column("h").to_numpy().view(np.uint64), period)
         order, new = _groups(keys, keys2)
         one, rest = pos[order[new]], np.sort(pos[order[~new]])
         first = rest[np.diff(rest, prepend=-2) != 1]
@@ -95,10 +93,12 @@ def _windows(window: int) -> Callable:
     return lambda left, right: run(left, right) if left.num_rows else pa.table({n: pa.array([], pa.int32() if n == "run" else pa.int64()) for n in ("h", "h2", "doc_id", "pack_id", "run")})
 
 
-def _open_windows(texts: Texts, window: int, at: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place and two hashes of each window over an anchor that occurs more than once, here or (at) elsewhere."""
+def _open_windows(texts: Texts, window: int, shared: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place and two hashes of each window over an anchor that occurs more than once, here or (shared) elsewhere."""
     words = texts.hashes()
-    at = np.union1d(at, _anchors_of(texts, words, window)[2])
+    keys, at = _anchors_of(texts, words, window)
+    kinds, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+    at = at[((times > 1) | np.isin(kinds, shared))[which]]
     rel, count = texts.place()
     step = np.zeros(len(rel) + 1, np.int64)
     np.add.at(step, np.maximum(at - period + 1, 0), 1)
@@ -146,10 +146,10 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     if window < 2:
         raise ValueError("window must be 2 or more")
     parts = n_partitions(docs)
-    held = packs(steady(docs), id_col, text_col)
+    held = packs(steady(docs), id_col, text_col, PACK_BYTES)
     by_pack = held.groupBy("pack_id")
     anchors = held.mapInArrow(_anchors(window), ANCHOR)
-    shared = anchors.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("h"))).where("n > 1 AND NOT told").select("pack_id", "pos")
+    shared = anchors.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("h"))).where("n > 1").select("pack_id", "h")
     sent = by_pack.cogroup(shared.groupBy("pack_id")).applyInArrow(_windows(window), WINDOW)
     # Rows are dealt by h alone, so that h2 need not be split before they travel.
     kind = W.partitionBy("h", F.shiftright("h2", 32), F.col("run") > 0).orderBy("doc_id", "pack_id", "h2")
