@@ -61,13 +61,17 @@ def keys_in(raw: bytes) -> np.ndarray:
 
 
 def numbers_out(n: np.ndarray) -> bytes:
-    """As eight planes of bytes, of which the upper ones are nearly empty."""
-    return zstandard.ZstdCompressor(level=1).compress(n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+    """As planes of bytes, as many as the largest needs; the upper ones are nearly empty."""
+    width = max(1, (int(n.max(initial=0)).bit_length() + 7) // 8)
+    planes = n.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def numbers_in(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<i8").ravel()
 
 
 class Asked:
@@ -77,8 +81,10 @@ class Asked:
     def __init__(self, keys: np.ndarray, docs: np.ndarray, remote: np.ndarray | None = None) -> None:
         self.keys, self.which = np.unique(keys, return_inverse=True)
         self.times = np.bincount(self.which, minlength=len(self.keys))
-        _, of, n = np.unique(self.which * (int(docs.max(initial=0)) + 1) + docs, return_inverse=True, return_counts=True)
-        self.own = n[of]
+        many = np.flatnonzero(self.times[self.which] > 1)
+        _, of, n = np.unique(self.which[many] * (int(docs.max(initial=0)) + 1) + docs[many], return_inverse=True, return_counts=True)
+        self.own = np.ones(len(keys), np.int32)
+        self.own[many] = n[of]
         self.remote = np.ones(len(self.keys), bool)
         if remote is not None:
             self.remote[self.which] = remote
