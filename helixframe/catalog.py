@@ -290,7 +290,7 @@ query(
     "SELECT row_idx, a1::BIGINT AS start, a2::BIGINT AS stop, count(b1)::BIGINT AS n, coalesce(sum(CASE WHEN b1 IS NOT NULL THEN least(a2, b2) - greatest(a1, b1) + 1 END), 0)::BIGINT AS m, "
     "coalesce(count_if(b1 >= a1 AND b2 <= a2), 0)::BIGINT AS u, coalesce(sum(CASE WHEN b1 >= a1 AND b2 <= a2 THEN b2 - b1 + 1 END), 0)::BIGINT AS v FROM a LEFT JOIN b ON a1 <= b2 AND b1 <= a2 GROUP BY ALL",
     view=False,
-)(lambda s, d: intervals.overlap_summary(_places(s, d, "orders", "o_orderkey", 10, 6), _places(s, d, "customer", "c_custkey", 97, 20), 256).drop("chr"))
+)(lambda s, d: intervals.overlap_summary(_places(s, d, "orders", "o_orderkey", 10, 6), _places(s, d, "customer", "c_custkey", 97, 20), 4096).drop("chr"))
 
 _CIGARS = ("10M", "5M2I5M", "8M3D4M", "6M20N6M")
 

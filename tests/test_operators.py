@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import graph, intervals, search, selection, statistics
+from helixframe.functions import sequences as S
+from helixframe.operators import graph, intervals, search, selection, statistics, transforms
 
 RECORD = ("s", "ACGTNACG")
 
@@ -121,6 +123,45 @@ def test_motif(seqs):
         search.Motif("AXQ")
 
 
+def test_long_sequences_in_blocks(seqs, monkeypatch):
+    """With small blocks every border is met; results are those of whole sequences."""
+    rnd = random.Random(6)
+    df = seqs(*[(f"s{k}", "".join(rnd.choices("ACGTN", (9, 9, 9, 9, 1), k=n))) for k, n in enumerate((0, 1, 5, 24, 25, 240, 700))])
+    uses = [
+        lambda: statistics.kmers(df, 3), lambda: statistics.kmers(df, 2, by_sequence=True), lambda: statistics.ngrams(df, 4), lambda: statistics.kmers_by_frame(df, 3), lambda: statistics.codon_frequencies(df),
+        lambda: transforms.translations(df, "all"), lambda: search.open_reading_frames(df, 9), lambda: search.open_reading_frames(df, 9, whole=True), lambda: search.motif_hits(df, "TTcr", 1, neighbours=3),
+        lambda: search.motif_hits(df, "TCr", bisulfite=1), lambda: search.motif_hits(df, "ATTR", ambiguous=1, neighbours=2), lambda: search.regex_matches(df, "a[ct]{1,3}g?", every=True), lambda: search.regex_counts(df, "a[ct]{1,3}g?"),
+    ]
+    whole = [sorted(map(str, f().collect())) for f in uses]
+    monkeypatch.setattr(search, "BLOCK", 8)
+    monkeypatch.setattr(search, "CHUNK", 3)
+    monkeypatch.setattr(S, "BLOCK", 24)
+    monkeypatch.setattr(S.blocks, "__defaults__", (0, 24))
+    for want, f in zip(whole, uses, strict=True):
+        assert sorted(map(str, f().collect())) == want
+
+
+def perl_search(pattern, seq, every):
+    out, at, rest = [], 0, seq.upper()
+    while m := re.search(pattern, rest, re.IGNORECASE):
+        out.append((at + m.start(), m[0]))
+        if not every or not m[0]:
+            break
+        at, rest = at + m.start() + 1, rest[m.start() + 1 :]
+    return [x for x in out if x[1] or not every]
+
+
+@pytest.mark.parametrize("pattern", ["^a", "^a|c", "(?<=a)c", "(?<!a)c", r"\bac", r"(a)(c)\1", r"(.)\1", "ac*", "a.*t", "a{2}", "t$", "g(?=t)", "(a|c)g"])
+def test_regex_restarts(seqs, pattern):
+    rnd = random.Random(len(pattern))
+    texts = ["AAAC", "", "acca", *("".join(rnd.choices("ACGT", k=40)) for _ in range(4))]
+    df = seqs(*[(f"s{k}", t) for k, t in enumerate(texts)])
+    every, first, counts = (sorted(map(tuple, x.collect())) for x in (search.regex_matches(df, pattern, every=True).select("seq_idx", "offset", "match"), search.regex_matches(df, pattern).select("seq_idx", "offset", "match"), search.regex_counts(df, pattern).select("seq_idx", "n")))
+    assert every == [(k, *m) for k, t in enumerate(texts, 1) for m in perl_search(pattern, t, True)]
+    assert first == [(k, *m) for k, t in enumerate(texts, 1) for m in perl_search(pattern, t, False)]
+    assert counts == [(k, len(perl_search(pattern, t, True))) for k, t in enumerate(texts, 1)]
+
+
 def test_ambiguous_takes_the_first_expansion(seqs):
     assert rows(search.motif_hits(seqs(("s", "CB")), "cc", 1, ambiguous=1).where("dir = 'f'"), "expansion", "n_mis") == [("CG", 1)]
 
@@ -157,9 +198,17 @@ def test_chunks(seqs):
 
 def test_extract(spark, seqs):
     cuts = spark.createDataFrame([(2, 5, ""), (0, 3, ""), (4, 20, ""), (12, 14, "")], "a long, b long, desc string")
-    out = intervals.extract(seqs(("h", "ACGTACGTAC")), cuts).collect()
+    out = intervals.extract(seqs(("h", "ACGTACGTAC")), cuts, ordered=True).collect()
     assert [(r.label, r.piece) for r in out] == [("0-3 h", "ACG"), ("2-5 h", "GTA"), ("4-10 h", "ACGTA")]
-    assert [r.piece for r in intervals.extract(seqs(("h", "ACGTACGTAC")), cuts, fixed=True).collect()][-1] == "ACGTAC"
+    assert [r.piece for r in intervals.extract(seqs(("h", "ACGTACGTAC")), cuts, fixed=True, ordered=True).collect()][-1] == "ACGTAC"
+
+
+def test_extract_in_blocks(spark, seqs, monkeypatch):
+    monkeypatch.setattr(intervals, "BLOCK", 3)
+    cuts = [(k, k + 4, f"d{k % 5}") for k in range(20)]
+    df = seqs(*[(f"h{j}", "ACGTTGCA" * (j + 1)) for j in range(4)])
+    out = intervals.extract(df, spark.createDataFrame(cuts, "a long, b long, desc string"), fixed=True)
+    assert rows(out, "header", "a", "piece") == sorted((f"h{j}", a, ("ACGTTGCA" * (j + 1))[a:b]) for j in range(4) for a, b, _ in cuts if a < 8 * (j + 1))
 
 
 def test_neighbourhoods(spark, seqs):
@@ -178,6 +227,19 @@ def test_overlap_summary(spark, width):
     assert rows(intervals.overlap_summary(a, b.withColumn("chr", F.lit("x")), width, by_chr=True), "n") == [(0,)] * 3
 
 
+@pytest.mark.parametrize("by_chr", [False, True])
+def test_overlaps_of_nested_intervals(spark, by_chr):
+    rnd = random.Random(4)
+    some = lambda n, most: [(f"c{rnd.randrange(3)}", s := rnd.randrange(-40, 300), s + rnd.choice([0, 1, 5, rnd.randrange(most)])) for _ in range(n)]
+    one, two = some(80, 30), some(120, 400) + [("c0", -1000, 1000)] * 3
+    a, b = (spark.createDataFrame([(k, *x) for k, x in enumerate(t)], "row_idx long, chr string, start long, stop long") for t in (one, two))
+    want = []
+    for c, s, e in one:
+        m = [(max(s, x), min(e, y), s <= x and y <= e) for d, x, y in two if (c == d or not by_chr) and s <= y and x <= e]
+        want.append((c, s, e, len(m), sum(y - x + 1 for x, y, _ in m), sum(i for *_, i in m), sum(y - x + 1 for x, y, i in m if i)))
+    assert rows(intervals.overlap_summary(a, b, 64, by_chr), "chr", "start", "stop", "n", "m", "u", "v") == sorted(want)
+
+
 def test_alignments(spark):
     sam = spark.createDataFrame([(1, "chr1", 90, "10M"), (2, "chr1", 89, "10M"), (3, "chr1", 200, "5M"), (4, "chr1", 201, "5M"), (5, "chr2", 150, "5M")], "row_idx long, rname string, pos long, cigar string")
     transcripts = spark.createDataFrame([("chr1", 100, 200), ("chr1", 120, 130)], "chr string, start long, stop long")
