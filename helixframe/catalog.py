@@ -6,6 +6,7 @@ sequence; other tables give intervals, reads and links.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from helixframe.functions import sequences as S
 from helixframe.functions.alphabet import CODE, COMPLEMENT_FROM, COMPLEMENT_TO
 from helixframe.operators import graph, intervals, search, selection, statistics, transforms
+from helixframe.plans.checkpoints import cut, removed, shared_folder
+from helixframe.sources import readers, writers
 
 FLAGSHIP = "orfs"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,7 +265,7 @@ _piece = "substr(seq, (a + 1)::BIGINT, (CASE WHEN b >= length(seq) THEN greatest
 query(
     "intervals",
     f', {_cuts} SELECT header, d AS "desc", a::BIGINT AS a, least(b, length(seq))::BIGINT AS stop, d || \' \' || a || \'-\' || least(b, length(seq)) || \' \' || header AS label, {_piece} FROM dna, c WHERE a < length(seq)',
-)(lambda s, d: intervals.extract(dna(s, d), s.createDataFrame(list(_CUTS), "a long, b long, desc string")))
+)(lambda s, d: intervals.extract(dna(s, d), s.createDataFrame(list(_CUTS), "a long, b long, desc string"), ordered=True))
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,3 +344,205 @@ query(
     f"string_agg('   ' || b || ' ' || a, chr(10) ORDER BY a) {_rest} AS text FROM m GROUP BY component, b HAVING count(*) >= 2",
     view=False,
 )(lambda s, d: graph.subgraphs(_links(s, d), 3, edges=True))
+
+
+# Chains and cycles: part k is linked to the next one of its hundred, every second hundred is closed to a ring.
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    last = (k % 100 == 99) & (F.floor(k / 100) % 2 == 0)
+    rows = table(spark, sf_dir, "part").select(k.alias("a"), F.when(k % 100 < 99, k + 1).when(last, k - 99).alias("b"))
+    name = lambda c: F.concat(F.lit("p"), F.lpad(F.col(c).cast("string"), 9, "0"))
+    return rows.where("b IS NOT NULL").select(name("a").alias("a"), name("b").alias("b"), F.concat(F.lit("of "), (F.col("a") % 7).cast("string")).alias("desc"))
+
+
+_ring = (
+    "WITH k AS (SELECT p_partkey AS a, CASE WHEN p_partkey % 100 < 99 THEN p_partkey + 1 WHEN (p_partkey // 100) % 2 = 0 THEN p_partkey - 99 END AS b FROM part), "
+    "e AS (SELECT 'p' || lpad(a::VARCHAR, 9, '0') AS a, 'p' || lpad(b::VARCHAR, 9, '0') AS b, 'of ' || (a % 7) AS d, a // 100 AS g FROM k WHERE b IS NOT NULL), "
+    "n AS (SELECT a AS node, g FROM e UNION SELECT b, g FROM e), c AS (SELECT node, min(node) OVER (PARTITION BY g) AS component FROM n) "
+)
+query("components_of_chains", _ring + "SELECT node, component FROM c", view=False)(lambda s, d: graph.components(_rings(s, d).select("a", "b")))
+query(
+    "subgraph_dot",
+    # A chain or a ring of which the smallest node comes first: depth first is the order of the nodes.
+    _ring + ", t AS (SELECT component, string_agg('\"' || node || '\"', ' ; ' ORDER BY node) AS line, count(*)::BIGINT AS n_nodes FROM c GROUP BY component), "
+    "l AS (SELECT component, string_agg('   \"' || a || '\" -- \"' || b || '\";  # ' || d, chr(10) ORDER BY least(a, b), greatest(a, b)) AS links FROM e JOIN c ON node = a GROUP BY component) "
+    "SELECT component, n_nodes, 'graph {' || chr(10) || line || ';' || chr(10) || links || chr(10) || '}' AS text FROM t JOIN l USING (component)",
+    view=False,
+)(lambda s, d: graph.subgraphs(_rings(s, d), dot=True))
+
+
+# Letters of both cases, with U and the codes of ambiguity
+_IUPAC_VIEW = """WITH dna AS (SELECT doc_id + 1 AS seq_idx, 'doc' || doc_id AS header, regexp_replace(coalesce(text, ''), '[^ACGTUNMRWSYKVHDBXacgtunmrwsykvhdbx]', '', 'g') AS seq FROM documents)"""
+
+
+def iupac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    seq = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTUNMRWSYKVHDBXacgtunmrwsykvhdbx]", "")
+    return docs.select((F.col("doc_id") + 1).alias("seq_idx"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("header"), seq.alias("seq"))
+
+
+def on_iupac(name: str, sql: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    query(name, _IUPAC_VIEW + sql, view=False)(lambda spark, sf_dir: f(iupac(spark, sf_dir)))
+
+
+_letters_of = lambda cs: " UNION ALL ".join(f"SELECT '{c}' AS base, sum(length(seq) - length(replace(seq, '{c}', '')))::BIGINT AS n FROM dna" for c in cs)
+on_iupac("nt_cased", f", b AS ({_letters_of('ACGTacgt')}) SELECT * FROM b", lambda d: statistics.composition(d, cased=True).select("base", "n"))
+on_iupac(
+    "nt_cased_ambiguous", f", b AS ({_letters_of('ACGTacgt' + statistics.AMBIGUOUS + statistics.AMBIGUOUS.lower())}), s AS (SELECT CASE WHEN base IN ('A','C','G','T','a','c','g','t') THEN base WHEN base = upper(base) THEN 'N' ELSE 'n' END AS base, n FROM b) "
+    "SELECT base, sum(n)::BIGINT AS n FROM s GROUP BY base", lambda d: statistics.composition(d, "sum", cased=True).select("base", "n"),
+)
+on_iupac("nt_each_ambiguous", f", b AS ({_letters_of('ACGTacgt' + statistics.AMBIGUOUS + statistics.AMBIGUOUS.lower())}) SELECT upper(base) AS base, sum(n)::BIGINT AS n FROM b GROUP BY 1", lambda d: statistics.composition(d, "each").select("base", "n"))
+on_iupac("rc_ambiguous", f" SELECT {_IDX}, {_RC.format('seq')} AS seq FROM dna", lambda d: transforms.reverse_complements(d).select("seq_idx", "seq"))
+on_iupac("rc_rna", f" SELECT {_IDX}, {_RC.format(chr(114) + 'eplace(replace(seq, ' + repr('U') + ', ' + repr('T') + '), ' + repr('u') + ', ' + repr('t') + ')')} AS seq FROM dna", lambda d: transforms.reverse_complements(d, rna=True).select("seq_idx", "seq"))
+_known = f"regexp_replace(seq, '[^{COMPLEMENT_FROM}]', 'X', 'g')"
+on_iupac("complement_strict_ambiguous", f" SELECT {_IDX}, translate({_known}, '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}') AS seq FROM dna", lambda d: d.select("seq_idx", S.strict_complement(F.col("seq")).alias("seq")))
+on_iupac("bisulfite_ambiguous", f" SELECT {_IDX}, translate({_known}, 'Cc', 'Tt') AS seq FROM dna", lambda d: transforms.bisulfite_converted(d).select("seq_idx", "seq"))
+on_iupac("sel_trim_stop", f" SELECT {_IDX}, seq FROM dna", lambda d: selection.select_sequences(d.withColumn("seq", F.concat("seq", F.lit("*"))), trim_stop=True).select("seq_idx", "seq"))
+
+# Words, reports and searches that others leave out
+_every_k = lambda k: f"e AS (SELECT {_every(k)} AS kmer FROM range({4**k}) AS r(i))"
+on_dna(
+    "kmers_by_seq_dense", f", c AS (SELECT seq_idx, w, count(*) AS n FROM ({_letters(2)}) GROUP BY ALL), {_every_k(2)}, x AS (SELECT seq_idx, kmer, {_RC.format('kmer')} AS rc FROM dna, e) "
+    "SELECT x.seq_idx::BIGINT AS seq_idx, kmer, coalesce(f.n, 0)::BIGINT AS fwd, coalesce(r.n, 0)::BIGINT AS rev FROM x LEFT JOIN c AS f ON f.seq_idx = x.seq_idx AND f.w = kmer LEFT JOIN c AS r ON r.seq_idx = x.seq_idx AND r.w = rc",
+    lambda d: statistics.kmers(d, 2, by_sequence=True).select("seq_idx", "kmer", "fwd", "rev"),
+)
+on_dna("ngrams_by_count", f", c AS (SELECT w AS ngram, count(*) AS n FROM ({_words(3)}) GROUP BY w) SELECT ngram, n::BIGINT AS n, row_number() OVER (ORDER BY n DESC, ngram)::BIGINT AS place FROM c", lambda d: _placed(statistics.ngrams(d, 3, order="count")))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Place in the order given; over the different n-grams alone."""
+    return rows.select("ngram", "n").coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+on_dna(
+    "ngram_report", f", c AS (SELECT w AS ngram, count(*) AS n FROM ({_words(2)}) GROUP BY w) SELECT printf('%s %10d', ngram, n) AS line FROM c", lambda d: statistics.ngrams(d, 2).select(writers.ngram_report().alias("line")),
+)
+on_dna(
+    "nt_report", f"{_sums}, t AS (SELECT sum(n) AS total FROM s WHERE base <> 'N') SELECT base || ': ' || printf('%10d ', n) AS line FROM s WHERE base <> 'N'",
+    lambda d: statistics.composition(d).select(writers.composition_report(percents=False).alias("line")),
+)
+on_dna(
+    "re_report", f", h AS ({_hit('A[CT]A', 3)}) SELECT printf('%10d %10d %s %s', o, 3, m, header) AS line FROM h", lambda d: search.regex_matches(d, "a[ct]a", every=True).select(writers.match_report().alias("line")),
+)
+on_dna("re_count_report", f", h AS ({_hit('A[CT]A', 3)}) SELECT printf('%10d %s', count(o), dna.header) AS line FROM dna LEFT JOIN h USING (seq_idx) GROUP BY dna.seq_idx, dna.header", lambda d: search.regex_counts(d, "a[ct]a").select(writers.count_report().alias("line")))
+on_dna(
+    "poly_a_report", f"{_run} c AS (SELECT *, row_number() OVER (PARTITION BY seq_idx ORDER BY n DESC, i) AS k FROM q) SELECT header || ': ' || printf(' %4d %4d %4d', n, i - 1, length(seq) - (i + n - 1)) AS line FROM c WHERE k = 1",
+    lambda d: search.longest_runs(d, fixed=True).select(writers.run_report(True, True).alias("line")),
+)
+_exact = f", w AS ({_words(5)}), s AS (SELECT *, 'f' AS dir, w AS t FROM w UNION ALL SELECT *, 'r', {_RC.format('w')} FROM w) "
+on_dna("prosearch_report", _exact + "SELECT w || ' ' || dir || printf(' %2d ', 0) || t || printf(' %10d', pos + 1) AS line FROM s WHERE regexp_full_match(t, 'TT[AG][CT]A')", lambda d: search.motif_hits(d, "TTRYA").select(writers.hit_report().alias("line")))
+on_dna("length_report", " SELECT printf('%10d %s', length(seq), header) AS line FROM dna", lambda d: statistics.lengths(d).select(writers.length_report().alias("line")))
+on_dna(
+    "re_anchored", ", h AS (SELECT seq_idx, header, length(regexp_extract(seq, '^A*')) AS n FROM dna) SELECT seq_idx::BIGINT AS seq_idx, header, unnest(range(n))::INTEGER AS \"offset\", 1::INTEGER AS length, 'A' AS match FROM h",
+    lambda d: search.regex_matches(d, "^a", every=True),
+)
+on_dna(
+    "re_backreference", f", h AS (SELECT seq_idx, header, pos AS o, w AS m FROM ({_words(3)}) WHERE substr(w, 1, 1) = substr(w, 3, 1)) SELECT {_IDX}, header, o::INTEGER AS \"offset\", 3::INTEGER AS length, m AS match FROM h",
+    lambda d: search.regex_matches(d, "(.).\\1", every=True),
+)
+
+# Overlaps of deep and nested intervals
+_NESTED = (
+    "WITH a AS (SELECT o_orderkey AS row_idx, 'c' || (o_orderkey % 3) AS chr, o_orderkey * 7 % 5000 AS a1, o_orderkey * 7 % 5000 + o_orderkey % 90 AS a2 FROM orders), "
+    "b AS (SELECT 'c' || (c_custkey % 3) AS chr, c_custkey * 11 % 5000 AS b1, c_custkey * 11 % 5000 + c_custkey % 40 * (c_custkey % 5) AS b2 FROM customer) "
+    "SELECT row_idx, a.chr, a1::BIGINT AS start, a2::BIGINT AS stop, count(b1)::BIGINT AS n, coalesce(sum(CASE WHEN b1 IS NOT NULL THEN least(a2, b2) - greatest(a1, b1) + 1 END), 0)::BIGINT AS m, "
+    "coalesce(count_if(b1 >= a1 AND b2 <= a2), 0)::BIGINT AS u, coalesce(sum(CASE WHEN b1 >= a1 AND b2 <= a2 THEN b2 - b1 + 1 END), 0)::BIGINT AS v FROM a LEFT JOIN b ON a1 <= b2 AND b1 <= a2{0} GROUP BY ALL"
+)
+
+
+def _nested(spark: SparkSession, sf_dir: str, by_chr: bool) -> DataFrame:
+    o, c = F.col("o_orderkey"), F.col("c_custkey")
+    chrom = lambda k: F.concat(F.lit("c"), (k % 3).cast("string")).alias("chr")
+    at = lambda k, step, more: [(k * step % 5000).alias("start"), (k * step % 5000 + more).alias("stop")]
+    a = table(spark, sf_dir, "orders").select(o.alias("row_idx"), chrom(o), *at(o, 7, o % 90))
+    b = table(spark, sf_dir, "customer").select(chrom(c), *at(c, 11, c % 40 * (c % 5)))
+    return intervals.overlap_summary(a, b, 512, by_chr)
+
+
+query("overlap_nested", _NESTED.format(""), view=False)(lambda s, d: _nested(s, d, False))
+query("overlap_nested_by_chr", _NESTED.format(" AND a.chr = b.chr"), view=False)(lambda s, d: _nested(s, d, True))
+
+
+# Files: written to the shared folder, read again, and removed when the result is settled
+def on_files(name: str, sql: str, f: Callable[[SparkSession, str, str], DataFrame], view: bool = True) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+        try:
+            return cut(f(spark, sf_dir, path))
+        finally:
+            removed(spark, path)
+
+    query(name, sql, view)(run)
+
+
+def _fasta_file(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    writers.write_fasta(dna(spark, sf_dir).orderBy("seq_idx"), path)
+    return readers.read_fasta(spark, path).select("seq_idx", "header", "seq")
+
+
+def _chunk_files(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    writers.write_chunks(dna(spark, sf_dir), path, 7, "part_", ".fa")
+    found = readers.read_fasta(spark, path).withColumn("fname", F.element_at(F.split("path", "/"), -1))
+    return found.groupBy("fname").agg(F.count(F.lit(1)).alias("n_seqs"), F.sum(F.length("seq")).alias("length"))
+
+
+def _genome_files(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    writers.write_split(dna(spark, sf_dir), path, separator=" ", field=2, extension="fa")
+    regions = table(spark, sf_dir, "documents").select(F.col("source").alias("chrom")).distinct().select("chrom", F.lit(3).cast("long").alias("a"), F.lit(30).cast("long").alias("b"), F.lit("near").alias("desc"))
+    return intervals.neighbourhoods(readers.read_genome(spark, path), regions)
+
+
+def _fastq_file(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    reads = dna(spark, sf_dir).select("seq_idx", F.concat(F.lit("@"), "header").alias("header"), "seq", F.lit("+").alias("qheader"), F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
+    writers.write_fastq(reads.orderBy("seq_idx").drop("seq_idx"), path)
+    return selection.select_sequences(readers.read_fastq(spark, path), 50, header="^@doc[0-9]*5 ", fastq=True).select("seq_idx", "header", "seq", "qual")
+
+
+def _sam_file(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    reads = _reads(spark, sf_dir)
+    line = F.concat_ws("\t", F.concat(F.lit("r"), F.col("row_idx").cast("string")), F.lit("0"), "rname", F.col("pos").cast("string"), F.lit("9"), "cigar", F.lit("*"))
+    reads.select(line.alias("value")).unionByName(spark.range(1).select(F.lit("@HD\tVN:1.6").alias("value"))).write.text(path)
+    return readers.read_sam(spark, path).groupBy("rname", "cigar").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
+
+
+def _edge_file(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    _rings(spark, sf_dir).select(F.concat_ws(" ", "a", "b", F.lit("#"), "desc").alias("value")).write.text(path)
+    return readers.read_edges(spark, path)
+
+
+def _table_file(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    _transcripts(spark, sf_dir).select(F.concat_ws("\t", "chr", F.col("start").cast("string"), F.col("stop").cast("string")).alias("value")).write.text(path)
+    return readers.read_interval_table(spark, path).select("chr", "start", "stop")
+
+
+def _cut_file(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    k = F.col("p_partkey")
+    table(spark, sf_dir, "part").select(F.concat((k % 50 + 9).cast("string"), F.when(k % 2 == 0, "-").otherwise(" "), (k % 31).cast("string"), F.lit(" cut "), k.cast("string")).alias("value")).write.text(path)
+    return readers.read_cut_list(spark, path)
+
+
+def _region_file(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    _regions(spark, sf_dir).select(F.concat_ws(" ", "chrom", F.col("a").cast("string"), F.col("b").cast("string"), "desc", F.lit("x")).alias("value")).write.text(path)
+    return readers.read_regions(spark, path)
+
+
+def _id_file(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    ids = _ids(spark, sf_dir)
+    ids.unionByName(ids).select(F.concat("id", F.lit("  ")).alias("value")).write.text(path)
+    return _all(selection.by_ids(dna(spark, sf_dir), readers.read_ids(spark, path)))
+
+
+on_files("fasta_file", f" SELECT {_cols} FROM dna", _fasta_file)
+on_files("fasta_chunk_files", ", c AS (SELECT seq, ntile(7) OVER (ORDER BY seq_idx) - 1 AS k FROM dna) SELECT 'part_' || k || '.fa' AS fname, count(*)::BIGINT AS n_seqs, sum(length(seq))::BIGINT AS length FROM c GROUP BY k", _chunk_files)
+on_files(
+    "genome_folder", ", r AS (SELECT path AS chrom, arg_max(seq, seq_idx) AS seq, 3 AS a, 30 AS b FROM dna GROUP BY path) "
+    f"SELECT chrom, a::BIGINT AS a, least(b, length(seq))::BIGINT AS stop, 'near' AS \"desc\", {_piece} FROM r WHERE a < length(seq)", _genome_files,
+)
+on_files("fastq_file", f" SELECT {_IDX}, '@' || header AS header, seq, repeat('I', length(seq)) AS qual FROM dna WHERE length(seq) >= 50 AND regexp_matches(header, '^doc[0-9]*5 ')", _fastq_file)
+on_files("sam_file", _sam.format("NOT").split("t AS (")[0].rstrip(", ") + " SELECT rname, cigar, count(*)::BIGINT AS n, sum(pos)::BIGINT AS pos FROM r GROUP BY ALL", _sam_file, view=False)
+on_files("edge_file", _ring + "SELECT a, b, d AS \"desc\" FROM e", _edge_file, view=False)
+on_files("interval_file", "SELECT 'chr' || (p_partkey % 5) AS chr, (p_partkey * 41)::BIGINT AS start, (p_partkey * 41 + p_size)::BIGINT AS stop FROM part", _table_file, view=False)
+on_files("cut_file", "SELECT least(p_partkey % 50 + 9, p_partkey % 31)::BIGINT AS a, greatest(p_partkey % 50 + 9, p_partkey % 31)::BIGINT AS b, 'cut ' || p_partkey AS \"desc\" FROM part", _cut_file, view=False)
+on_files("region_file", "SELECT 'doc' || doc_id AS chrom, (doc_id % 97 * 3)::BIGINT AS a, (doc_id % 97 * 3 + 60)::BIGINT AS b, 'q' || quality || ' x' AS \"desc\" FROM labels", _region_file, view=False)
+on_files("id_file", f" SELECT {_cols} FROM dna WHERE seq_idx {_listed}", _id_file)
+query("interval_list", "SELECT a::BIGINT AS a, b::BIGINT AS b, '' AS \"desc\" FROM (VALUES (2, 5), (10, 20), (3, 7)) AS t(a, b)", view=False)(lambda s, _: readers.interval_list(s, "2-5, 20-10,3-7"))

@@ -32,19 +32,21 @@ def _occurs(c: str, cased: bool) -> Column:
 
 
 def composition(seqs: DataFrame, ambiguous: str | None = None, cased: bool = False, pairs: bool = False, by_sequence: bool = False, zeros: bool = True) -> DataFrame:
-    """(base, n, total, pct), per sequence if asked. ambiguous: None, "sum" (all as N) or "each". pairs: G/C and A/T.
+    """(base, n, total, pct), per sequence if asked. ambiguous: None, "sum" (all as N) or "each"; cased keeps cases apart. pairs: G/C and A/T.
     pct is of the bases reported and -1 if there are none. zeros=False leaves out bases that do not occur."""
     bases = list("ACGTacgt" if cased and not pairs else "ACGT")
-    names = bases + ([] if ambiguous is None else list(AMBIGUOUS))
+    both = cased and not pairs
+    codes = list(AMBIGUOUS) + [c.lower() for c in AMBIGUOUS] * both
+    names = bases + ([] if ambiguous is None else codes)
     keys = ["seq_idx", "header"] if by_sequence else []
     sums = seqs.groupBy(*keys).agg(*[F.coalesce(F.sum(_occurs(c, cased and not pairs)), F.lit(0)).alias(f"n{k}") for k, c in enumerate(names)])
     n = {c: F.col(f"n{k}") for k, c in enumerate(names)}
     add = lambda cs: sum((n[c] for c in cs[1:]), n[cs[0]])
     rows = [("G/C", add("GC")), ("A/T", add("AT"))] if pairs else [(c, n[c]) for c in bases]
     if ambiguous == "sum":
-        rows.append(("N", add(AMBIGUOUS)))
+        rows += [("N", add(AMBIGUOUS))] + [("n", add(AMBIGUOUS.lower()))] * both
     elif ambiguous == "each":
-        rows += [(c, n[c]) for c in AMBIGUOUS]
+        rows += [(c, n[c]) for c in codes]
     total = sum((x for _, x in rows[1:]), rows[0][1])
     listed = F.explode(F.array(*[F.struct(F.lit(c).alias("base"), x.alias("n")) for c, x in rows]))
     out = sums.withColumn("total", total).withColumn("r", listed)

@@ -35,6 +35,18 @@ def read_fasta(spark: SparkSession, paths: str | list[str], case: str | None = N
     return rows.select(F.col("_path").alias("path"), "seq_idx", *_record(value, case, strip_digits))
 
 
+def read_genome(spark: SparkSession, paths: str | list[str], by_file: bool = True, case: str | None = None) -> DataFrame:
+    """(chrom, seq_idx, header, seq): chromosomes named by their files (less folder and extension), the last record of a file
+    counting, or else by the first word of their headers. header begins with the name."""
+    rows = read_fasta(spark, paths, case)
+    if not by_file:
+        return rows.select(S.record_id(F.col("header")).alias("chrom"), "seq_idx", "header", "seq")
+    named = rows.withColumn("chrom", F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", ""))
+    last = named.select("chrom", "seq_idx").groupBy("chrom").agg(F.max("seq_idx").alias("seq_idx"))
+    kept = named.join(last, ["chrom", "seq_idx"])
+    return kept.select("chrom", "seq_idx", F.concat_ws(" ", "chrom", "header").alias("header"), "seq")
+
+
 def _record(value: Column, case: str | None, strip_digits: bool) -> list[Column]:
     header = F.regexp_replace(F.substring_index(value, "\n", 1), "\r$", "")
     body = F.when(F.contains(value, F.lit("\n")), F.regexp_replace(value, "^[^\n]*\n", "")).otherwise("")
