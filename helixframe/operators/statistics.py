@@ -44,7 +44,7 @@ def composition(seqs: DataFrame, ambiguous: str | None = None, cased: bool = Fal
     add = lambda cs: sum((n[c] for c in cs[1:]), n[cs[0]])
     rows = [("G/C", add("GC")), ("A/T", add("AT"))] if pairs else [(c, n[c]) for c in bases]
     if ambiguous == "sum":
-        rows += [("N", add(AMBIGUOUS))] + [("n", add(AMBIGUOUS.lower()))] * both
+        rows += [(c, add(cs)) for c, cs in (("N", AMBIGUOUS), ("n", AMBIGUOUS.lower() * both)) if cs]
     elif ambiguous == "each":
         rows += [(c, n[c]) for c in codes]
     total = sum((x for _, x in rows[1:]), rows[0][1])
