@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
+from helixframe.plans.checkpoints import cut
+
+
+#: Splits up to which their table (some hundred bytes a row) is broadcast.
+SPLITS = 200_000
 
 
 def _numbered(rows: DataFrame, name: str, opening: str | None = None) -> DataFrame:
@@ -14,15 +20,12 @@ def _numbered(rows: DataFrame, name: str, opening: str | None = None) -> DataFra
     file's first row is a record only if it begins so, and column _head marks it."""
     marked = rows.withColumns({"_path": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
     opens = F.startswith("value", F.lit(opening or ""))
-    splits = sorted(marked.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"), F.min_by(opens, "_id").alias("opens")).collect())
-    firsts, total = [], 1
-    for path, start, n, first, begins in splits:
-        skip = int(start == 0 and not begins)
-        firsts.append((path, start, total - first - skip, first if start == 0 else -1))
-        total += n - skip
-    table = rows.sparkSession.createDataFrame(firsts, "_path string, _start long, _shift long, _first long")
-    # One row a split: as small as the list of splits that the driver holds to plan the scan.
-    out = marked.join(F.broadcast(table), ["_path", "_start"]).withColumns({name: F.col("_id") + F.col("_shift"), "_head": F.col("_id") == F.col("_first")})
+    splits = cut(marked.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"), F.min_by(opens, "_id").alias("opens")))
+    skip = ((F.col("_start") == 0) & ~F.col("opens")).cast("long")
+    before = F.sum(F.col("n") - skip).over(W.orderBy("_path", "_start").rowsBetween(W.unboundedPreceding, -1))  # over splits, not rows
+    table = splits.select("_path", "_start", (F.coalesce(before, F.lit(0)) + 1 - F.col("first") - skip).alias("_shift"), F.when(F.col("_start") == 0, F.col("first")).otherwise(-1).alias("_first"))
+    table = F.broadcast(table) if splits.count() <= SPLITS else table
+    out = marked.join(table, ["_path", "_start"]).withColumns({name: F.col("_id") + F.col("_shift"), "_head": F.col("_id") == F.col("_first")})
     return out.where(~F.col("_head") | opens).drop("_start", "_id", "_shift", "_first")
 
 

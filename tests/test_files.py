@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import transforms
+from helixframe.operators import search, statistics, transforms
 from helixframe.sources import readers, writers
 from helixframe.streaming import sequences as streams
 
@@ -65,8 +65,27 @@ def test_round_trip(spark, seqs, tmp_path):
     back = readers.read_fasta(spark, str(tmp_path / "out"))
     assert sorted((r.header, r.seq) for r in back.collect()) == [("a x", "ACGT" * 40), ("b", "GG")]
     writers.write_chunks(s, str(tmp_path / "chunks"), 2)
-    assert sorted(p.name for p in (tmp_path / "chunks").iterdir() if p.is_dir()) == ["chunk=0", "chunk=1"]
-    assert sorted(r.fname for r in writers.write_split(s, str(tmp_path / "split"), separator=" ", field=0).collect()) == ["a", "b"]
+    named = lambda folder: sorted(p.name for p in (tmp_path / folder).iterdir() if not p.name.startswith((".", "_")))
+    assert named("chunks") == ["chunk_0.fasta", "chunk_1.fasta"] and (tmp_path / "chunks" / "chunk_1.fasta").read_text() == ">b\nGG\n"
+    assert sorted(r.fname for r in writers.write_split(s, str(tmp_path / "split"), separator=" ", field=0, extension="fa").collect()) == ["a.fa", "b.fa"]
+    assert named("split") == ["a.fa", "b.fa"] and (tmp_path / "split" / "b.fa").read_text() == ">b\nGG\n"
+    genome = readers.read_genome(spark, str(tmp_path / "split"))
+    assert sorted((r.chrom, r.header, r.seq[:2]) for r in genome.collect()) == [("a", "a a x", "AC"), ("b", "b b", "GG")]
+    assert sorted(r.chrom for r in readers.read_genome(spark, str(tmp_path / "out"), by_file=False).collect()) == ["a", "b"]
+
+
+def test_reports(seqs):
+    s = seqs(("r1 x", "TTGTAAAAACAG"))
+    line = lambda df, column, n=1: sorted(r[0] for r in df.select(column).collect())[:n]
+    assert line(statistics.kmers(s, 2).where("kmer = 'AC'"), writers.kmer_report()) == ["AC/GT          1          1          2   9.090909   9.090909   9.090909"]
+    assert line(statistics.codon_frequencies(s).where("codon = 'TTG'"), writers.codon_report()) == ["L TTG           1    25.000   100.000"]
+    assert line(statistics.lengths(s), writers.length_report()) == ["        12 r1 x"]
+    assert line(statistics.composition(s).where("base = 'A'"), writers.composition_report()) == ["A:          6  50.00 "]
+    assert line(statistics.ngrams(s, 3).where("ngram = 'AAA'"), writers.ngram_report(True)) == ["AAA  30.000000"]
+    assert line(search.longest_runs(s), writers.run_report(terse=True)) == ["    5"] and line(search.longest_runs(s), writers.run_report(True)) == ["r1 x:     5    4"]
+    hits = search.motif_hits(s, "GTaac", 1, neighbours=2).where("dir = 'f'")
+    assert line(hits, writers.hit_report(True)) == ["         3  f  TT GTAAA AA  1"]
+    assert line(search.motif_hits(s, "GTaac", 1).where("dir = 'f'"), writers.hit_report()) == ["GTAAA f  1 GTAAA          3"]
 
 
 def test_stream(spark, seqs, tmp_path):
