@@ -12,8 +12,8 @@ n-gram and pack would be the plain relational form; it is packed into a row for
 would travel otherwise (README). An n-gram of order 3 or more is sent only if other documents hold both its parts of the order
 below, as no other document can hold it otherwise, and other packs too, as its count is known otherwise.
 
-The ranges of a partition are cut again before they are counted, so that a task holds a small part of its partition
-at a time; Spark sorts the parts and spills.
+There are several ranges for each partition, so that a task holds a small part of its partition at a time; Spark sorts by
+range and spills. A row is made for a range that a pack has n-grams in, so there are never more rows than n-grams.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from helixframe.llm.spans import mixed, window_hashes
 
 #: Larger packs repeat themselves more, so that fewer n-grams are sent.
 PACK_BYTES = 1 << 22
-#: Parts into which the ranges of a partition are cut before they are counted.
-PARTS = 16
+#: Ranges of hashes for each partition, of which a task holds one at a time.
+PARTS = 8
 SENT = "bucket long, pack_id long, part long, n long, keys binary, counts binary"
 ANSWER = "pack_id long, part long, counts binary"
 _KINDS = {"long": pa.int64(), "binary": pa.binary()}
@@ -159,17 +159,6 @@ def _sends(step: int, buckets: int) -> Callable:
     return run
 
 
-def _smaller(buckets: int) -> Callable:
-    """The rows of a partition, each cut into PARTS."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, number, _, _, keys, times in rows_of(batches):
-            k, n = keys_in(keys), numbers_in(times)
-            yield _batch([(b, number, b, part.stop - part.start, keys_out(k[part]), numbers_out(n[part])) for b, part in _cut_up(k, n, buckets * PARTS)], SENT)
-
-    return run
-
-
 def _packs_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """Packs one by one, with lists of (part, counts)."""
     for batch in batches:
@@ -246,8 +235,8 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 1, alpha: float = 0.
     parts = n_partitions(docs)
     held = packs(steady(docs), id_col, text_col, PACK_BYTES)
     for step in range(2, order + 1):
-        sent = spread(held.mapInArrow(_sends(step, parts), SENT), parts, "bucket")
-        answers = sent.mapInArrow(_smaller(parts), SENT).sortWithinPartitions("bucket").mapInArrow(_met, ANSWER)
+        sent = spread(held.mapInArrow(_sends(step, parts * PARTS), SENT), parts, "bucket")
+        answers = sent.sortWithinPartitions("bucket").mapInArrow(_met, ANSWER)
         by_pack = answers.groupBy("pack_id").agg(F.collect_list(F.struct("part", "counts")).alias(f"answers{step}"))
         held = held.join(by_pack.hint("merge"), "pack_id", "left")  # never broadcast; all sides are partitioned by pack_id
     found = cut(held.mapInArrow(_scored(order, min_count, alpha), "doc_id long, n_words long, n_bare long, part double"))
