@@ -42,11 +42,10 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         "doc_id", "stratum",
         F.filter(F.split("text", _WHITE), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "").alias("lines"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.length(F.translate("text", _BLANKS, "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
     )
     second = first.select(
-        "doc_id", "stratum", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"),
+        "doc_id", "stratum", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
