@@ -61,13 +61,15 @@ def strand(seq: Column, direction: str) -> Column:
     return seq if direction == "F" else reverse_complement(seq)
 
 
-def blocks(seq: Column, overlap: int = 0, size: int = BLOCK) -> Column:
+def blocks(seq: Column, overlap: int = 0, size: int = BLOCK, length: Column | None = None) -> Column:
     """The sequence in blocks of `size` residues, each with the next `overlap` residues behind it; an empty one has none.
 
-    Whatever makes a list of residues, words or codons makes it of one block at a time, however long the sequence.
+    Whatever makes a list of residues, words or codons makes it of one block at a time, however long the sequence. length
+    spares making a costly `seq` more than once; one that is too large does no harm, but for an empty block.
     """
+    n = F.length(seq) if length is None else length
     cut = F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
-    return F.when(F.length(seq) == 0, F.array().cast("array<string>")).when(F.length(seq) <= size, F.array(seq)).otherwise(cut)
+    return F.when(n <= 0, F.array().cast("array<string>")).when(n <= size, F.array(seq)).otherwise(cut)
 
 
 def from_offset(seq: Column, offset: int) -> Column:
@@ -79,9 +81,9 @@ def codons(seq: Column) -> Column:
     return F.regexp_extract_all(F.upper(seq), F.lit("(?s).{3}"), F.lit(0))
 
 
-def by_codon(seq: Column, mark: Callable[[Column], Column]) -> Column:
+def by_codon(seq: Column, mark: Callable[[Column], Column], length: Column | None = None) -> Column:
     """A mark for each whole codon, as one string, made block by block."""
-    return F.array_join(F.transform(blocks(seq), lambda b: F.array_join(F.transform(codons(b), mark), "")), "")
+    return F.array_join(F.transform(blocks(seq, length=length), lambda b: F.array_join(F.transform(codons(b), mark), "")), "")
 
 
 def genetic_code() -> Column:
@@ -95,7 +97,7 @@ def translated(seq: Column, frame: str) -> Column:
     if frame not in FRAMES:
         raise ValueError(f"no frame {frame}")
     acid = lambda c: F.coalesce(F.try_element_at(F.try_element_at(genetic_code(), F.substring(c, 1, 2)), c), F.lit("X"))
-    return by_codon(from_offset(strand(seq, frame[0]), int(frame[1]) - 1), acid)
+    return by_codon(from_offset(strand(seq, frame[0]), int(frame[1]) - 1), acid, F.length(seq))
 
 
 def cut_out(seq: Column, begin: Column, length: Column | None = None) -> Column:

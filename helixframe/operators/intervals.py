@@ -39,11 +39,15 @@ def extract(seqs: DataFrame, intervals: DataFrame, fixed: bool = False, ordered:
     count, size = every.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.coalesce("desc", F.lit(""))) + 32)).first()
     n = max(1, -(-count // BLOCK))
     one = n == 1 and (size or 0) <= BROADCAST
-    salts = 1 if one else max(1, int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = every.groupBy(F.pmod(F.xxhash64("a", "b", "desc"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("a", "b", "desc")).alias("list"))
-    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = seqs.select("header", "seq", F.pmod(F.xxhash64("header", "seq"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    pairs = spread.join(F.broadcast(blocks) if one else blocks, ["block", "salt"]).select("header", "seq", F.explode_outer("list").alias("i"))
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")
+    if one:
+        pairs = seqs.select("header", "seq", every_block).join(F.broadcast(blocks), "block")
+    else:
+        salts = max(1, int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        spread = seqs.select("header", "seq", F.pmod(F.xxhash64("header"), F.lit(salts)).cast("int").alias("salt"), every_block)
+        pairs = spread.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["block", "salt"])
+    pairs = pairs.select("header", "seq", F.explode("list").alias("i"))
     out = _extracted(pairs.select("header", "seq", "i.*"), fixed)
     label = F.concat(F.coalesce("desc", F.lit("")), F.lit(" "), F.col("a").cast("string"), F.lit("-"), F.col("stop").cast("string"), F.lit(" "), F.col("header"))
     out = out.select("header", "desc", "a", "stop", F.ltrim(label).alias("label"), "piece")
@@ -126,12 +130,16 @@ def alignments(sam: DataFrame, transcripts: DataFrame, invert: bool = False, wid
     spans = transcripts.select(F.col("chr").alias("_chr"), F.col("start").alias("b1"), F.col("stop").alias("b2")).where("b1 <= b2")
     first, last = F.col("pos"), alignment_end(F.col("pos"), F.col("cigar"), fixed)
     reads = sam.withColumns({"_a1": first, "_a2": last})
-    short = reads.where(F.coalesce(F.col("_a2") - F.col("_a1") < width, F.lit(True))).withColumn("_bin", F.floor(F.col("_a1") / width))
+    longest = reads.agg(F.max(F.col("_a2") - F.col("_a1"))).first()[0] or 0  # a pass over two columns
+    short = reads if longest < width else reads.where(F.coalesce(F.col("_a2") - F.col("_a1") < width, F.lit(True)))
+    short = short.withColumn("_bin", F.floor(F.col("_a1") / width))
     near = reach(spans, width, ["_chr"]).withColumnRenamed("bin", "_bin")
     low = F.col("_bin") * width
     met = F.coalesce(F.exists("held", lambda x: (x["from"] <= F.col("_a2") - low) & (x["to"] >= F.col("_a1") - low)) & (F.col("_a1") <= F.col("_a2")), F.lit(False))
     near = near.withColumnRenamed("_bin", "_b")
     one = short.join(near, (F.col("rname") == F.col("_chr")) & (F.col("_bin") == F.col("_b")), "left").where(~met if invert else met).select(sam.columns)
+    if longest < width:
+        return one
     long = reads.where(F.col("_a2") - F.col("_a1") >= width)
     asked = long.select("row_idx", F.col("rname").alias("_chr"), F.col("_a1").alias("a1"), F.col("_a2").alias("a2"))
     found = touching(asked, spans, width, ["_chr"]).select("row_idx").distinct()

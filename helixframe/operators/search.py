@@ -93,7 +93,7 @@ def motif_hits(seqs: DataFrame, pattern: str, mismatches: int = 0, ambiguous: in
     core = lambda c: F.substring(c, n + 1, size)
     each = seqs.select("seq_idx", "header", text.alias("top"), F.explode(F.array(*map(F.lit, strands))).alias("dir"))
     strand = reduce(lambda out, d: out.when(F.col("dir") == d, strands[d]), list(strands)[1:], F.when(F.col("dir") == "f", strands["f"]))
-    cut = lambda c: S.blocks(F.concat(F.lit("X" * n), c), 2 * n + size - 1)
+    cut = lambda c: S.blocks(F.concat(F.lit("X" * n), c), 2 * n + size - 1, length=F.length("top") + n)
     pairs = each.select("seq_idx", "header", "dir", F.posexplode_outer(F.arrays_zip(cut(strand).alias("s"), cut(top).alias("t"))).alias("b", "p"))
     # A block is read to the end of its last window; windows that begin in the overlap don't fit into it.
     fits = F.when(F.col("dir").isin(*backwards), F.lit(motif.pattern(True))).otherwise(F.lit(motif.pattern(False))) if not ambiguous else F.lit(f".{{{size}}}")
@@ -140,8 +140,8 @@ def open_reading_frames(seqs: DataFrame, min_length: int | None = None, starts:
     strand = F.when(F.startswith("frame", F.lit("F")), F.col("seq")).otherwise(S.strand(F.col("seq"), "R"))
     off = F.substring("frame", 2, 1).cast("int") - 1
     each = each.select("seq_idx", "header", "size", "frame", off.alias("off"), strand.alias("strand"))
-    marks = S.by_codon(F.substr("strand", F.col("off") + 1), mark)
-    lines = each.select("seq_idx", "header", "size", "frame", "off", S.blocks(F.col("strand"), 0, BLOCK).alias("blocks"), F.regexp_extract_all(marks, F.lit("[^T]*+(?:T|$)"), F.lit(0)).alias("segments"))
+    marks = S.by_codon(F.substr("strand", F.col("off") + 1), mark, F.col("size"))
+    lines = each.select("seq_idx", "header", "size", "frame", "off", S.blocks(F.col("strand"), 0, BLOCK, F.col("size")).alias("blocks"), F.regexp_extract_all(marks, F.lit("[^T]*+(?:T|$)"), F.lit(0)).alias("segments"))
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("segments") - 1) / CHUNK).cast("int")), lambda k: F.slice("segments", k * CHUNK + 1, CHUNK))
     lines = lines.select("seq_idx", "header", "size", "frame", "off", "blocks", F.when(F.size("segments") > 0, chunks).otherwise(F.array().cast("array<array<string>>")).alias("chunks"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
@@ -260,7 +260,7 @@ def regex_matches(seqs: DataFrame, pattern: str, every: bool = False) -> DataFra
     else:
         most = _widest(pattern)
         size, overlap = (S.BLOCK, most - 1) if most else (2**30, 0)
-        cut = seqs.select("seq_idx", "header", F.posexplode_outer(S.blocks(up, overlap, size) if most else F.array(up)).alias("b", "block"))
+        cut = seqs.select("seq_idx", "header", F.posexplode_outer(S.blocks(up, overlap, size, F.length("seq")) if most else F.array(up)).alias("b", "block"))
         places = F.regexp_extract_all("block", F.lit(f"(?i)(?={_grouped(pattern)})|(?s:.)"), F.lit(1))
         hits = cut.select("seq_idx", "header", "b", F.posexplode_outer(places).alias("i", "match")).where((F.length("match") > 0) & (F.col("i") < size))
         hits = hits.select("seq_idx", "header", (F.col("b") * size + F.col("i")).alias("offset"), "match")
@@ -277,5 +277,5 @@ def regex_counts(seqs: DataFrame, pattern: str) -> DataFrame:
     size, overlap = (S.BLOCK, most - 1) if most else (2**30, 0)
     places = lambda b: F.regexp_extract_all(b, F.lit(f"(?i)(?={_grouped(pattern)})|(?s:.)"), F.lit(1))
     # Marks of the places of a block alone: 1 where a match begins.
-    n = F.aggregate(S.blocks(up, overlap, size) if most else F.array(up), F.lit(0).cast("long"), lambda a, b: a + F.size(F.filter(F.slice(places(b), 1, size), lambda m: F.length(m) > 0)))
+    n = F.aggregate(S.blocks(up, overlap, size, F.length("seq")) if most else F.array(up), F.lit(0).cast("long"), lambda a, b: a + F.size(F.filter(F.slice(places(b), 1, size), lambda m: F.length(m) > 0)))
     return seqs.select("seq_idx", "header", F.coalesce(n, F.lit(0)).alias("n"))

@@ -58,7 +58,7 @@ def composition(seqs: DataFrame, ambiguous: str | None = None, cased: bool = Fal
 def _words(seqs: DataFrame, keys: list[str], k: int, letters: str) -> DataFrame:
     """(keys, pos, word): words of k letters and their places from 0 on, also overlapping ones; found block by block."""
     # Outer generators: for others Spark adds a filter that makes every list once more.
-    cut = seqs.select(*keys, F.posexplode_outer(S.blocks(F.upper("seq"), k - 1)).alias("_b", "_block"))
+    cut = seqs.select(*keys, F.posexplode_outer(S.blocks(F.upper("seq"), k - 1, length=F.length("seq"))).alias("_b", "_block"))
     found = F.regexp_extract_all("_block", F.lit(f"(?s)(?=({letters}{{{k}}}))"), F.lit(1))
     return cut.select(*keys, (F.col("_b").cast("long") * S.BLOCK).alias("_at"), F.posexplode_outer(found).alias("_i", "word")).where("word IS NOT NULL").select(*keys, (F.col("_at") + F.col("_i")).alias("pos"), "word")
 

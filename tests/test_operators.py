@@ -136,7 +136,7 @@ def test_long_sequences_in_blocks(seqs, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 8)
     monkeypatch.setattr(search, "CHUNK", 3)
     monkeypatch.setattr(S, "BLOCK", 24)
-    monkeypatch.setattr(S.blocks, "__defaults__", (0, 24))
+    monkeypatch.setattr(S.blocks, "__defaults__", (0, 24, None))
     for want, f in zip(whole, uses, strict=True):
         assert sorted(map(str, f().collect())) == want
 
