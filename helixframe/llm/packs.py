@@ -23,15 +23,6 @@ PACK_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
-def squeezed(a: np.ndarray) -> bytes:
-    """Ascending numbers under 2^32, as compressed differences."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(a.astype(np.int64), prepend=0).astype("<u4").tobytes())
-
-
-def unsqueezed(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<u4").astype(np.int64))
-
-
 def freeze(ids: list[int | None], texts: list[bytes | None]) -> bytes:
     order = sorted(range(len(ids)), key=lambda i: NO_ID if ids[i] is None else ids[i])
     head = np.array([[NO_ID if ids[i] is None else ids[i], len(texts[i] or b"")] for i in order], "<i8")
