@@ -81,6 +81,14 @@ def test_near_copies_are_told_apart(spark):
     assert len({(q, i) for q, _, i, _ in want} & {(q, i) for q, _, i, _ in got}) >= 0.99 * len(want)
 
 
+def test_ties_go_to_the_smaller_ids(spark):
+    rnd = np.random.default_rng(4)
+    v = rnd.standard_normal(16).astype(np.float32)
+    rows = [(i, (v * np.float32(2.0 ** (i % 7))).tolist()) for i in range(60)] + [(100 + i, rnd.standard_normal(16).astype(np.float32).tolist()) for i in range(40)]
+    out = sorted(x for x in found(table(spark, rows)) if x[0] in (0, 50))
+    assert [(r, i) for q, r, i, _ in out if q == 50] == [(k + 1, k) for k in range(5)] and [(r, i) for q, r, i, _ in out if q == 0] == [(k, k) for k in range(1, 6)]
+
+
 @pytest.mark.parametrize("length", [1, 17, 62])
 def test_prefix_ranges(length):
     keys = np.sort(np.random.default_rng(length).integers(0, 1 << 62, 500, dtype=np.uint64))
