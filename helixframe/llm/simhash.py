@@ -12,7 +12,10 @@ of the links instead of all pairs.
 Shingle sets of a similarity of 0.8 differ in some 10 of 64 bits, beyond what balls can reach, and among many documents
 unrelated fingerprints come as near. without_near_copies() therefore makes WORDS times 64 bits of each shingle hash: there are
 as many more segments, of which one is likely to differ in 2 bits at most, and complete distances tell similar from
-dissimilar texts.
+dissimilar texts. What they link is held against the shingle sets themselves. Similar texts that no segment brings together,
+or that are further apart than most, are found by prefixes: under one order of all shingles, frequent ones last, sets of a
+given similarity share some of their first shingles. Only texts that the fingerprints have not joined yet are compared so;
+links are therefore those of all pairs.
 """
 
 from __future__ import annotations
@@ -27,13 +30,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import cut, n_partitions, texts_of
-from helixframe.llm.spans import mixed
+from helixframe.llm.common import cut, n_partitions, steady, texts_of
+from helixframe.llm.spans import Texts, mixed, window_hashes
 from helixframe.operators.graph import components
 
 SEED = 42
 #: 64-bit words of a long fingerprint, and bits in which a word differs at most where a segment of it has met.
 WORDS, WORD_DISTANCE = 4, 9
+#: A prefix is one shingle longer than it must be for each SPARE shingles of a set, so that pairs have to share more of it.
+SPARE = 32
+#: Shingles counted together, how often one is met among them to be a frequent one, and how many of those are ordered by
+#: their counts. The order decides how many pairs are compared, not which are found.
+PACK, FREQUENT, MOST_FREQUENT = 1 << 22, 8, 1 << 20
+#: Rows of a table that is sent to all tasks at most.
+SENT = 1 << 19
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -123,6 +133,28 @@ def linked(fp: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
             rest = rest[~near]
 
 
+def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first one, so that no value of it is parted."""
+    kept: list[list[np.ndarray]] = []
+    for batch in batches:
+        now = [c.to_numpy() for c in batch.columns]
+        if not len(now[0]):
+            continue
+        if kept and kept[-1][0][-1] == now[0][0]:
+            same = int(np.searchsorted(now[0], now[0][0], "right"))
+            kept.append([c[:same] for c in now])
+            now = [c[same:] for c in now]
+        if len(now[0]):
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            kept.append([c[:last] for c in now])
+            found = [np.concatenate(c) for c in zip(*kept, strict=True)]
+            if len(found[0]):
+                yield found
+            kept = [[c[last:] for c in now]]
+    if kept:
+        yield [np.concatenate(c) for c in zip(*kept, strict=True)]
+
+
 def _verified(distance: int) -> Callable:
     """Links among the fingerprints of each entry; rows come sorted by entry, and an entry may span batches."""
 
@@ -139,24 +171,7 @@ def _verified(distance: int) -> Callable:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list[np.ndarray]] = []
-        for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
-            if not len(now[0]):
-                continue
-            if kept and kept[-1][0][-1] == now[0][0]:
-                same = int(np.searchsorted(now[0], now[0][0], "right"))
-                kept.append([c[:same] for c in now])
-                now = [c[same:] for c in now]
-            if len(now[0]):
-                last = int(np.searchsorted(now[0], now[0][-1]))
-                kept.append([c[:last] for c in now])
-                e, f, r = (np.concatenate(c) for c in zip(*kept, strict=True))
-                if len(e):
-                    yield links(e, f.view(np.uint64), r)
-                kept = [[c[last:] for c in now]]
-        if kept:
-            e, f, r = (np.concatenate(c) for c in zip(*kept, strict=True))
+        for e, f, r in _whole(batches):
             yield links(e, f.view(np.uint64), r)
 
     return run
@@ -191,32 +206,208 @@ def long_links(reps: DataFrame, similarity: float) -> DataFrame:
     return met.join(side("a"), "a").join(side("b"), "b").where(apart <= bits_apart(similarity)).select("a", "b")
 
 
+def shingle_sets(texts: list[bytes | None], shingle: int) -> Iterator[np.ndarray]:
+    """Each text's different shingles, as sorted 64-bit hashes; fewer words: the whole sequence; none: empty."""
+    a = 0
+    while a < len(texts):
+        b, held = a, 0
+        while b < len(texts) and held < 1 << 20:  # about a megabyte at a time
+            held += len(texts[b] or b"")
+            b += 1
+        t = Texts([(x or b"").lower() for x in texts[a:b]])
+        words = t.hashes()
+        windows = window_hashes(words, shingle)
+        for first, n in zip(t.first.tolist(), t.count.tolist(), strict=False):
+            yield np.unique(windows[first : first + n - shingle + 1] if n > shingle else window_hashes(words[first : first + n], n) if n else words[:0])
+        a = b
+
+
+def _some(sets: Iterable[np.ndarray], most: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """Lists of sets, of about `most` shingles together."""
+    found, held = [], 0
+    for s in sets:
+        found.append(s)
+        held += len(s) + 1
+        if held >= most:
+            yield found
+            found, held = [], 0
+    if found:
+        yield found
+
+
+def in_common(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that sets of these sizes together share at least, if they have that similarity."""
+    return np.ceil(similarity * sizes / (1 + similarity) - 1e-6).astype(np.int64)
+
+
+def left_out(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles of a set of n that are not in its prefix."""
+    return np.maximum(np.ceil(similarity * n - 1e-6).astype(np.int64) - 1 - n // SPARE, 0)
+
+
+def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, frequent ones (sorted, with their ranks) after all others. What two sets have in common is
+    in both prefixes, or follows the prefix that ends first; so in_common() less the greater left_out() are in both."""
+    n = len(shingles)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        shingles = shingles[np.lexsort((shingles, np.where(frequent[at] == shingles, rank[at], -1)))]
+    return shingles[: n - int(left_out(np.int64(n), similarity))]
+
+
+def _frequent(source: DataFrame, marks: Marks, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many marked texts share, sorted, and their ranks, rarest first. All texts are counted, pack by pack."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(pack: list[np.ndarray]) -> pa.RecordBatch:
+            value, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *pack]), return_counts=True)
+            many = count >= FREQUENT
+            return pa.RecordBatch.from_arrays([pa.array(value[many].view(np.int64)), pa.array(count[many].astype(np.int64))], ["s", "n"])
+
+        pack, held = [], 0
+        for batch in batches:
+            for found in shingle_sets(texts_of(marks.of(batch).column(1)), shingle):
+                pack.append(found)
+                held += len(found)
+                if held >= PACK:
+                    yield counted(pack)
+                    pack, held = [], 0
+        yield counted(pack)
+
+    rows = source.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).toArrow()
+    value = rows.column("s").to_numpy().view(np.uint64)
+    order = np.argsort(value)
+    return value[order], len(value) - 1 - order
+
+
+class Marks:
+    """Marked rows, as bits by partition: an eighth of a byte for each row, sent to all tasks."""
+
+    def __init__(self, rows: DataFrame, column: str = "row") -> None:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for places in batch.column(1):
+                    at = places.values.to_numpy()
+                    bits = np.zeros(int(at.max()) + 1, bool)
+                    bits[at] = True
+                    found.append(np.packbits(bits).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["part", "bits"])
+
+        row = F.col(column)
+        parted = rows.select(F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND((1 << 33) - 1).alias("at"))
+        found = parted.groupBy("part").agg(F.collect_list("at").alias("at")).mapInArrow(run, "part int, bits binary").collect()
+        self.bits = rows.sparkSession.sparkContext.broadcast({r.part: bytes(r.bits) for r in found})
+
+    def of(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The marked rows of a batch, whose first column is the row's number."""
+        row = batch.column(0).to_numpy()
+        if not len(row):
+            return batch
+        bits = np.unpackbits(np.frombuffer(self.bits.value.get(int(row[0]) >> 33, b""), np.uint8))
+        at = row & ((1 << 33) - 1)
+        return batch.filter(pa.array((at < len(bits)) & bits[np.minimum(at, len(bits) - 1)].astype(bool) if len(bits) else np.zeros(len(at), bool)))
+
+
+def _similar(pairs: DataFrame, reps: DataFrame, source: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets have the similarity; sets are made of the texts in question alone."""
+    pairs = cut(pairs)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    marks = Marks(reps.join(needed, "rep", "left_semi").select("row"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in _some(shingle_sets(texts_of(marks.of(batch).column(1)), shingle)):
+                names, values = pa.array([_name(s) for s in found]), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([names, values], ["rep", "set"])
+
+    sets = source.mapInArrow(run, "rep long, set array<long>")
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"{x}s"))
+    both = F.size(F.array_intersect("as", "bs"))
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(both / (F.size("as") + F.size("bs") - both) >= similarity).select("a", "b"))
+
+
+def _name(shingles: np.ndarray) -> int:
+    """64 bits that stand for a set, signed."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
+
+def _sharing(similarity: float) -> Callable:
+    """(a, b, need): pairs of different groups under each shingle, of sizes that allow the similarity, and how often they need to
+    meet; rows (s, n, rep, root) come sorted by shingle and size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, n, rep, root in _whole(batches):
+            i, step = np.arange(len(s)), 1
+            while len(i):
+                i = i[i + step < len(s)]
+                i = i[(s[i + step] == s[i]) & (similarity * n[i + step] <= n[i] + 1e-6)]
+                a = i[root[i] != root[i + step]]
+                if len(a):
+                    b = a + step
+                    need = in_common(n[a] + n[b], similarity) - np.maximum(left_out(n[a], similarity), left_out(n[b], similarity))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[a], rep[b])), pa.array(np.minimum(rep[a], rep[b])), pa.array(need)], ["a", "b", "need"])
+                step += 1
+
+    return run
+
+
+def _rest(reps: DataFrame, source: DataFrame, roots: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): all pairs of different groups that may have the similarity; roots: (rep, root) of those in groups."""
+    marks = Marks(reps.select("row"))
+    frequent = source.sparkSession.sparkContext.broadcast(_frequent(source, marks, shingle))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in _some(shingle_sets(texts_of(marks.of(batch).column(1)), shingle)):
+                first = [prefix(s, similarity, *frequent.value).view(np.int64) for s in found]
+                names, sizes = pa.array([_name(s) for s in found]), pa.array([len(s) for s in found])
+                yield pa.RecordBatch.from_arrays([names, sizes, pa.array(first, pa.list_(pa.int64()))], ["rep", "n", "first"])
+
+    made = source.mapInArrow(run, "rep long, n long, first array<long>")
+    named = made.join(F.broadcast(roots) if roots.count() <= SENT else roots, "rep", "left")
+    entries = named.select(F.explode("first").alias("s"), "n", "rep", F.coalesce("root", "rep").alias("root"))
+    met = entries.repartition(n_partitions(source), "s").sortWithinPartitions("s", "n").mapInArrow(_sharing(similarity), "a long, b long, need long")
+    return met.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("a", "b")
+
+
 def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of texts whose shingle sets have that similarity or more: that of the smallest id.
 
-    Links join groups. Null ids come last, rows of one id go by a hash of all their columns; of rows that agree in every
-    column one stays. Rows that share an id but not a text are different documents. Texts without a word, null ones among
-    them, are copies of each other. Similar texts are found with a likelihood that grows with their similarity (README).
-    An empty table gives an empty result; column names don't matter.
+    Links join groups; they are those of all pairs of texts, by their sets of shingles. Null ids come last, rows of one id go
+    by a hash of all their columns; of rows that agree in every column one stays. Rows that share an id but not a text are
+    different documents. Texts without a word, null ones among them, are copies of each other. An empty table gives an empty
+    result; column names don't matter.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be over 0 and at most 1")
     names = [f"c{k}" for k in range(len(docs.columns))]  # so that no name clashes
-    plain = docs.toDF(*names).select(*names, F.xxhash64(*names).alias("h"), F.xxhash64(F.lit(1), *names).alias("g"))
+    plain = steady(docs).toDF(*names).select(F.monotonically_increasing_id().alias("row"), *names)
     id_, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     words = [f"w{k}" for k in range(WORDS)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([long_fingerprint(t, shingle) for t in texts_of(batch.column(3))], np.uint64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(w).view(np.int64)) for w in prints.T)], ["id", "h", "g", *words])
-
-    given = plain.select(F.col(id_).cast("long").alias("id"), "h", "g", F.col(text).cast("string").alias("text"))
-    found = given.mapInArrow(run, "id long, h long, g long, " + ", ".join(f"{w} long" for w in words))
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h", "g")).alias("first")
-    reps = cut(found.groupBy(*words).agg(first)).withColumn("rep", F.monotonically_increasing_id())  # over a checkpoint, so it stays
-    roots = components(long_links(reps, similarity)).withColumnsRenamed({"node": "rep", "component": "root"})
+            texts = texts_of(batch.column(1))
+            prints = np.array([long_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, WORDS)
+            rep = pa.array([_name(s) for s in shingle_sets(texts, shingle)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], rep, *(pa.array(np.ascontiguousarray(w).view(np.int64)) for w in prints.T)], ["row", "id", "h", "g", "rep", *words])
+
+    source = plain.select("row", F.col(text).cast("string").alias("text"))
+    given = plain.select("row", F.col(text).cast("string").alias("text"), F.col(id_).cast("long").alias("id"), F.xxhash64(*names).alias("h"), F.xxhash64(F.lit(1), *names).alias("g"))
+    found = given.mapInArrow(run, "row long, id long, h long, g long, rep long, " + ", ".join(f"{w} long" for w in words))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h", "g", "row", *words)).alias("first")
+    reps = cut(found.groupBy("rep").agg(first).select("rep", "first", "first.row", *[f"first.{w}" for w in words]))
+
+    def grouped(links: DataFrame) -> DataFrame:
+        return cut(components(links).select(F.col("node").alias("rep"), F.col("component").alias("root")))
+
+    near = grouped(_similar(long_links(reps.select(*words, "rep"), similarity), reps, source, similarity, shingle))
+    rest = _similar(_rest(reps, source, near, similarity, shingle), reps, source, similarity, shingle)
+    roots = grouped(rest.unionByName(near.toDF("a", "b")))
     kept = reps.select("rep", "first").join(roots, "rep", "left").groupBy(F.coalesce("root", "rep").alias("root")).agg(F.min("first").alias("first"))
-    chosen = kept.select(F.col("first.h").alias("h"), F.col("first.g").alias("g")).distinct()
-    return plain.join(chosen, ["h", "g"]).dropDuplicates(["h", "g"]).select(*names).toDF(*docs.columns)
+    marks = Marks(kept.select("first.row"))
+    return plain.mapInArrow(lambda batches: map(marks.of, batches), plain.schema).select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

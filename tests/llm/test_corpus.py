@@ -224,6 +224,31 @@ def test_near_copies_go(docs, odd, none):
     assert simhash.without_near_copies(none).count() == 0
 
 
+def test_near_copies_are_those_of_all_pairs(docs, monkeypatch):
+    """Pairs on both sides of 0.8, texts of one fingerprint that share little, frequent passages; against brute force."""
+    monkeypatch.setattr(simhash, "PACK", 1 << 10, raising=False)
+    rnd = random.Random(10)
+    word = lambda: f"w{rnd.randint(0, 9999)}"
+    common, rows = " ".join(word() for _ in range(60)), []
+    for i in range(60):
+        words = [word() for _ in range(240)]
+        near = list(words)
+        for at in range(15, 15 + 35 * (6 - i % 2), 35):
+            near[at] = "other"
+        rows += [(i, f"{common} {' '.join(words)}"), (1000 + i, f"{common} {' '.join(near[:240])}")]
+    rows += [(2000 + i, "over and over again it says " * 200 + " ".join(word() for _ in range(100))) for i in range(3)]
+    rows += [(3000 + i, " ".join(word() for _ in range(1 + i))) for i in range(8)]
+    sets = {i: shingles(t) for i, t in rows}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    root = {i: i for i in sets}
+    for (a, b), x in sorted(alike.items()):
+        if x >= 0.8:
+            x, y = root[a], root[b]
+            root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    assert sum(0.8 <= x < 0.86 for x in alike.values()) > 20 and sum(0.74 < x < 0.8 for x in alike.values()) + sum(x < 0.2 for x in alike.values()) > 20
+    assert {r.doc_id for r in simhash.without_near_copies(docs(*rows)).collect()} == set(root.values())
+
+
 def test_long_fingerprints():
     assert int(simhash.long_fingerprint(b"A b c d e f g", 4)[0]) == simhash.fingerprint(b"a b c d e f g", 4) and not simhash.long_fingerprint(None).any()
     assert simhash.bits_apart(0.8) == 44 and simhash.bits_apart(1.0) == 0
