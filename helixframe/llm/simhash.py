@@ -15,7 +15,9 @@ as many more segments, of which one is likely to differ in 2 bits at most, and c
 dissimilar texts. What they link is held against the shingle sets themselves. Similar texts that no segment brings together,
 or that are further apart than most, are found by prefixes: under one order of all shingles, frequent ones last, sets of a
 given similarity share some of their first shingles. Only texts that the fingerprints have not joined yet are compared so;
-links are therefore those of all pairs.
+links are therefore those of all pairs. A first shingle of more than FEW texts makes no pairs: its texts, and those of other
+such shingles that share a text with it, come together with their sets, which are compared there, and only links that join
+something leave.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +45,8 @@ SPARE = 32
 #: Shingles counted together, how often one is met among them to be a frequent one, and how many of those are ordered by
 #: their counts. The order decides how many pairs are compared, not which are found.
 PACK, FREQUENT, MOST_FREQUENT = 1 << 22, 8, 1 << 20
+#: Texts under one shingle at most that are paired row by row, and shingles of a block of sets that are compared in one task.
+FEW, BLOCK = 64, 1 << 20
 #: Rows of a table that is sent to all tasks at most.
 SENT = 1 << 19
 
@@ -309,10 +314,8 @@ class Marks:
         return batch.filter(pa.array((at < len(bits)) & bits[np.minimum(at, len(bits) - 1)].astype(bool) if len(bits) else np.zeros(len(at), bool)))
 
 
-def _similar(pairs: DataFrame, reps: DataFrame, source: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of pairs (a, b) whose shingle sets have the similarity; sets are made of the texts in question alone."""
-    pairs = cut(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+def _sets(reps: DataFrame, needed: DataFrame, source: DataFrame, shingle: int) -> DataFrame:
+    """(rep, set) of the texts in question alone; needed: (rep)."""
     marks = Marks(reps.join(needed, "rep", "left_semi").select("row"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,12 +324,67 @@ def _similar(pairs: DataFrame, reps: DataFrame, source: DataFrame, similarity: f
                 names, values = pa.array([_name(s) for s in found]), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([names, values], ["rep", "set"])
 
-    sets = source.mapInArrow(run, "rep long, set array<long>")
+    return source.mapInArrow(run, "rep long, set array<long>")
+
+
+def _similar(pairs: DataFrame, reps: DataFrame, source: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets have the similarity."""
+    pairs = cut(pairs)
+    sets = _sets(reps, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), source, shingle)
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"{x}s"))
     both = F.size(F.array_intersect("as", "bs"))
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(both / (F.size("as") + F.size("bs") - both) >= similarity).select("a", "b"))
 
 
+def forest(sets: list[np.ndarray], group: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links (index, index) between sets of that similarity, one of `left` and one of `right`, that join all groups which such
+    pairs join, and each two groups once. A set is held against all others at once, by the lists of who holds its values."""
+    size = np.array([len(s) for s in sets])
+    _, value, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(value, kind="stable")
+    holder, stop = np.repeat(np.arange(len(sets)), size)[order], np.cumsum(held)
+    start, first = stop - held, np.cumsum(size) - size
+    group = np.unique(group, return_inverse=True)[1]
+    for a in left.tolist():
+        other = right[group[right] != group[a]]
+        if not len(other):
+            continue
+        mine = value[first[a] : first[a] + size[a]]
+        n = held[mine]
+        both = np.bincount(holder[np.arange(n.sum()) + np.repeat(start[mine] - np.cumsum(n) + n, n)], minlength=len(sets))[other]
+        near = other[both / (size[a] + size[other] - both) >= similarity]
+        joined, at = np.unique(group[near], return_index=True)
+        for x in near[at].tolist():
+            yield a, x
+        group[np.isin(group, joined)] = group[a]
+
+
+def _crowded(chains: DataFrame, reps: DataFrame, source: DataFrame, roots: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): verified links that join what all similar pairs under crowded shingles join; chains: (a, b, n), the texts of such
+    a shingle, its first one and the size of a. Texts that chains join come together; where they hold more than BLOCK shingles,
+    they are dealt to blocks, and each two blocks meet."""
+    size = chains.groupBy(F.col("a").alias("rep")).agg(F.max("n").alias("n"))
+    crowd = components(chains).select(F.col("node").alias("rep"), F.col("component").alias("crowd")).join(size, "rep")
+    blocks = crowd.groupBy("crowd").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = crowd.join(blocks, "crowd").join(roots, "rep", "left").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    met = dealt.select("rep", "crowd", F.coalesce("root", "rep").alias("root"), "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    cells = cut(met.select("rep", "crowd", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
+    if cells.isEmpty():
+        return chains.select("a", "b").limit(0)
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        rep, root, block = (cell.column(c).to_numpy() for c in ("rep", "root", "block"))
+        lists = cell.column("set").combine_chunks()
+        sets = np.split(lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
+        lo, hi = (np.flatnonzero(block == cell.column(c)[0].as_py()) for c in ("lo", "hi"))
+        found = np.array(list(forest(sets, root, lo, hi, similarity)), np.int64).reshape(-1, 2)
+        return pa.table({"a": rep[found].max(1), "b": rep[found].min(1)})
+
+    named = cells.join(_sets(reps, cells.select("rep").distinct(), source, shingle), "rep")
+    return cut(named.groupBy("crowd", "lo", "hi").applyInArrow(run, "a long, b long"))
+
+
 def _name(shingles: np.ndarray) -> int:
     """64 bits that stand for a set, signed."""
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
@@ -334,11 +392,18 @@ def _name(shingles: np.ndarray) -> int:
 
 def _sharing(similarity: float) -> Callable:
     """(a, b, need): pairs of different groups under each shingle, of sizes that allow the similarity, and how often they need to
-    meet; rows (s, n, rep, root) come sorted by shingle and size."""
+    meet; rows (s, n, rep, root) come sorted by shingle and size. A shingle of more than FEW texts, of several groups, makes a row
+    a text: it, the shingle's first text, and its size below zero."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda a, b, need: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need)], ["a", "b", "need"])
         for s, n, rep, root in _whole(batches):
-            i, step = np.arange(len(s)), 1
+            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            held = np.diff(np.append(first, len(s)))
+            crowded = np.repeat((held > FEW) & (np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)), held)
+            if crowded.any():
+                yield made(rep[crowded], np.repeat(rep[first], held)[crowded], -n[crowded])
+            i, step = np.flatnonzero(~crowded), 1
             while len(i):
                 i = i[i + step < len(s)]
                 i = i[(s[i + step] == s[i]) & (similarity * n[i + step] <= n[i] + 1e-6)]
@@ -346,14 +411,14 @@ def _sharing(similarity: float) -> Callable:
                 if len(a):
                     b = a + step
                     need = in_common(n[a] + n[b], similarity) - np.maximum(left_out(n[a], similarity), left_out(n[b], similarity))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[a], rep[b])), pa.array(np.minimum(rep[a], rep[b])), pa.array(need)], ["a", "b", "need"])
+                    yield made(np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b]), need)
                 step += 1
 
     return run
 
 
 def _rest(reps: DataFrame, source: DataFrame, roots: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): all pairs of different groups that may have the similarity; roots: (rep, root) of those in groups."""
+    """(a, b): links that join the same groups as all similar pairs of different groups; roots: (rep, root) of those in groups."""
     marks = Marks(reps.select("row"))
     frequent = source.sparkSession.sparkContext.broadcast(_frequent(source, marks, shingle))
 
@@ -368,7 +433,10 @@ def _rest(reps: DataFrame, source: DataFrame, roots: DataFrame, similarity: floa
     named = made.join(F.broadcast(roots) if roots.count() <= SENT else roots, "rep", "left")
     entries = named.select(F.explode("first").alias("s"), "n", "rep", F.coalesce("root", "rep").alias("root"))
     met = entries.repartition(n_partitions(source), "s").sortWithinPartitions("s", "n").mapInArrow(_sharing(similarity), "a long, b long, need long")
-    return met.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("a", "b")
+    met = cut(met.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need"))
+    # Pairs that also meet under a crowded shingle may lack a meeting here; they are compared there.
+    paired = _similar(met.where("need > 0").select("a", "b"), reps, source, similarity, shingle)
+    return paired.unionByName(_crowded(met.where("need <= 0").select("a", "b", (-F.col("need")).alias("n")), reps, source, roots, similarity, shingle))
 
 
 def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,7 +471,7 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int =
         return cut(components(links).select(F.col("node").alias("rep"), F.col("component").alias("root")))
 
     near = grouped(_similar(long_links(reps.select(*words, "rep"), similarity), reps, source, similarity, shingle))
-    rest = _similar(_rest(reps, source, near, similarity, shingle), reps, source, similarity, shingle)
+    rest = _rest(reps, source, near, similarity, shingle)
     roots = grouped(rest.unionByName(near.toDF("a", "b")))
     kept = reps.select("rep", "first").join(roots, "rep", "left").groupBy(F.coalesce("root", "rep").alias("root")).agg(F.min("first").alias("first"))
     marks = Marks(kept.select("first.row"))

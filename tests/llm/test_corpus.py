@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -249,6 +250,39 @@ def test_near_copies_are_those_of_all_pairs(docs, monkeypatch):
     assert {r.doc_id for r in simhash.without_near_copies(docs(*rows)).collect()} == set(root.values())
 
 
+def test_large_groups_make_no_square_of_rows():
+    """Texts under the same shingles: each row makes a few at most, whatever the number of texts."""
+    m, shared = 1000, 30
+    s, rep = np.repeat(np.arange(shared), m), np.tile(np.arange(m), shared)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (s, np.full(len(s), 150), rep, rep)], ["s", "n", "rep", "root"])
+    assert sum(b.num_rows for b in simhash._sharing(0.8)(iter([batch]))) <= 32 * len(s)
+
+
+def test_large_groups_of_near_copies(docs, monkeypatch):
+    """Versions of two texts, on both sides of 0.8 to each other, more than are paired row by row, in several blocks, none of them
+    linked by fingerprints; against brute force."""
+    for name, value in (("FEW", 8), ("BLOCK", 5000), ("WORD_DISTANCE", -1)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rnd, rows = random.Random(11), []
+    for base in range(2):
+        words = [f"w{base}x{k}" for k in range(120)]
+        for i in range(150):
+            version = list(words)
+            for at in rnd.sample(range(8, 112, 14), 3 + i % 3):
+                version[at] = f"other{rnd.randint(0, 2 + i % 4)}"
+            rows.append((1000 * base + i, " ".join(version)))
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    groups = Counter(root.values())
+    assert 20 < len(groups) < 250 and max(groups.values()) > 5
+    assert {r.doc_id for r in simhash.without_near_copies(docs(*rows)).collect()} == set(groups)
+
+
 def test_long_fingerprints():
     assert int(simhash.long_fingerprint(b"A b c d e f g", 4)[0]) == simhash.fingerprint(b"a b c d e f g", 4) and not simhash.long_fingerprint(None).any()
     assert simhash.bits_apart(0.8) == 44 and simhash.bits_apart(1.0) == 0
