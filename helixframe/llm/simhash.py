@@ -15,9 +15,9 @@ as many more segments, of which one is likely to differ in 2 bits at most, and c
 dissimilar texts. What they link is held against the shingle sets themselves. Similar texts that no segment brings together,
 or that are further apart than most, are found by prefixes: under one order of all shingles, frequent ones last, sets of a
 given similarity share some of their first shingles. Only texts that the fingerprints have not joined yet are compared so;
-links are therefore those of all pairs. A first shingle of more than FEW texts makes no pairs: its texts, and those of other
-such shingles that share a text with it, come together with their sets, which are compared there, and only links that join
-something leave.
+links are therefore those of all pairs. A first shingle of more than FEW texts makes no pairs. Texts with few of these meet
+often enough under others; those with many, chained by such shingles, come together with their sets, which are compared there,
+and only links that join something leave.
 """
 
 from __future__ import annotations
@@ -360,17 +360,17 @@ def forest(sets: list[np.ndarray], group: np.ndarray, left: np.ndarray, right: n
 
 
 def _crowded(chains: DataFrame, reps: DataFrame, source: DataFrame, roots: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): verified links that join what all similar pairs under crowded shingles join; chains: (a, b, n), the texts of such
-    a shingle, its first one and the size of a. Texts that chains join come together; where they hold more than BLOCK shingles,
-    they are dealt to blocks, and each two blocks meet."""
-    size = chains.groupBy(F.col("a").alias("rep")).agg(F.max("n").alias("n"))
-    crowd = components(chains).select(F.col("node").alias("rep"), F.col("component").alias("crowd")).join(size, "rep")
+    """(a, b): verified links that join what all similar pairs under crowded shingles join; chains: (rep, s, size), the texts of
+    each such shingle. Texts that chains join come together; where they hold more than BLOCK shingles, they are dealt to blocks,
+    and each two blocks meet."""
+    size = chains.groupBy("rep").agg(F.max("size").alias("n"))
+    crowd = components(chains.select("rep", "s"), "rep", "s").select(F.col("node").alias("rep"), F.col("component").alias("crowd")).join(size, "rep")
     blocks = crowd.groupBy("crowd").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     dealt = crowd.join(blocks, "crowd").join(roots, "rep", "left").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     met = dealt.select("rep", "crowd", F.coalesce("root", "rep").alias("root"), "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     cells = cut(met.select("rep", "crowd", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
     if cells.isEmpty():
-        return chains.select("a", "b").limit(0)
+        return chains.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
@@ -393,7 +393,7 @@ def _name(shingles: np.ndarray) -> int:
 def _sharing(similarity: float) -> Callable:
     """(a, b, need): pairs of different groups under each shingle, of sizes that allow the similarity, and how often they need to
     meet; rows (s, n, rep, root) come sorted by shingle and size. A shingle of more than FEW texts, of several groups, makes a row
-    a text: it, the shingle's first text, and its size below zero."""
+    a text: it, the shingle, and its size below zero."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lambda a, b, need: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need)], ["a", "b", "need"])
@@ -402,7 +402,7 @@ def _sharing(similarity: float) -> Callable:
             held = np.diff(np.append(first, len(s)))
             crowded = np.repeat((held > FEW) & (np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)), held)
             if crowded.any():
-                yield made(rep[crowded], np.repeat(rep[first], held)[crowded], -n[crowded])
+                yield made(rep[crowded], s[crowded], -n[crowded])
             i, step = np.flatnonzero(~crowded), 1
             while len(i):
                 i = i[i + step < len(s)]
@@ -433,10 +433,16 @@ def _rest(reps: DataFrame, source: DataFrame, roots: DataFrame, similarity: floa
     named = made.join(F.broadcast(roots) if roots.count() <= SENT else roots, "rep", "left")
     entries = named.select(F.explode("first").alias("s"), "n", "rep", F.coalesce("root", "rep").alias("root"))
     met = entries.repartition(n_partitions(source), "s").sortWithinPartitions("s", "n").mapInArrow(_sharing(similarity), "a long, b long, need long")
-    met = cut(met.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need"))
-    # Pairs that also meet under a crowded shingle may lack a meeting here; they are compared there.
-    paired = _similar(met.where("need > 0").select("a", "b"), reps, source, similarity, shingle)
-    return paired.unionByName(_crowded(met.where("need <= 0").select("a", "b", (-F.col("need")).alias("n")), reps, source, roots, similarity, shingle))
+    met = cut(met.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n")))
+    chains = met.where("need < 0").select(F.col("a").alias("rep"), F.col("b").alias("s"), (-F.col("need")).alias("size"))
+    # A pair meets more than size / SPARE times. With that many crowded shingles at most, a text meets all similar ones under others
+    # too, as often as they need to meet less the crowded ones; two texts with more are compared in their crowd, or share none.
+    lost = cut(chains.groupBy("rep").agg(F.count(F.lit(1)).alias("lost"), (F.count(F.lit(1)) > F.floor(F.max("size") / SPARE)).alias("heavy")))
+    side = lambda x: lost.toDF(x, f"{x}lost", f"{x}heavy")
+    least = F.col("need") - F.when(F.col("aheavy") & F.col("bheavy"), 0).otherwise(F.least(F.coalesce("alost", F.lit(0)), F.coalesce("blost", F.lit(0))))
+    pairs = met.where("need > 0").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.col("n") >= least).select("a", "b")
+    heavy = chains.join(lost.where("heavy"), "rep", "left_semi")
+    return _similar(pairs, reps, source, similarity, shingle).unionByName(_crowded(heavy, reps, source, roots, similarity, shingle))
 
 
 def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
