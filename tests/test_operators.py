@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as S
+from helixframe.functions.alphabet import COMPLEMENT, IUPAC
 from helixframe.operators import graph, intervals, search, selection, statistics, transforms
 
 RECORD = ("s", "ACGTNACG")
@@ -166,6 +168,45 @@ def test_ambiguous_takes_the_first_expansion(seqs):
     assert rows(search.motif_hits(seqs(("s", "CB")), "cc", 1, ambiguous=1).where("dir = 'f'"), "expansion", "n_mis") == [("CG", 1)]
 
 
+def first_expansion(pattern, window, most, ambiguous):
+    """All expansions in the codes' order, tried one by one."""
+    if any(c not in IUPAC for c in window) or sum(len(IUPAC[c]) > 1 for c in window) > ambiguous:
+        return None
+    for bases in product(*[IUPAC[c] for c in window]):
+        off = [p for p, b in zip(pattern, bases, strict=True) if b not in IUPAC[p.upper()]]
+        if len(off) <= most and not any(p.isupper() for p in off):
+            return "".join(bases), len(off)
+    return None
+
+
+@pytest.mark.parametrize("pattern, most, ambiguous", [("ATTR", 0, 1), ("cRt", 0, 3), ("yccg", 1, 2), ("aCsbn", 2, 3), ("cccc", 3, 4), ("A", 0, 1), ("acgt", 9, 2)])
+def test_ambiguity_codes_in_place(seqs, pattern, most, ambiguous):
+    """Every expansion as tried one by one, and no window, with the block that it is cut from, goes to Python (a queue on disk)."""
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choices("ACGTacgt" * 3 + "".join(IUPAC) + "nUX", k=n)) for n in (0, 2, 5, 60, 3000)]
+    hits = search.motif_hits(seqs(*[(f"s{k}", t) for k, t in enumerate(texts)]), pattern, most, ambiguous=ambiguous)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("Scan") == 1
+    want = []
+    for idx, t in enumerate(texts, 1):
+        for at in range(len(t) - len(pattern) + 1):
+            window = t[at : at + len(pattern)]
+            for d, w in (("f", window), ("r", "".join(COMPLEMENT.get(c, "X") for c in reversed(window)))):
+                if found := first_expansion(pattern, w.upper(), most, ambiguous):
+                    want.append((idx, at + 1, d, w, window, *found))
+    assert len(want) > 20
+    assert rows(hits, "seq_idx", "pos", "dir", "match", "window", "expansion", "n_mis") == sorted(want)
+
+
+def test_ambiguity_codes_under_a_long_pattern(seqs):
+    """A pattern of 256 places, each unlike the one before."""
+    text = "".join(random.Random(8).choices("ACGT", k=256))
+    pattern = "".join(c.lower() if k % 2 else c for k, c in enumerate(text))
+    window = text[:99] + "N" + text[100:150] + "R" + text[151:]
+    hits = search.motif_hits(seqs(("s", "GG" + window + "T")), pattern, 1, ambiguous=2).where("dir = 'f'")
+    assert rows(hits, "pos", "match", "expansion", "n_mis") == [(3, window, *first_expansion(pattern, window, 1, 2))]
+
+
 def test_selection(seqs):
     s = seqs(("s1 de", "AAAA"), ("s2 en", "CCCAC*"), ("s2 fr", "GG"))
     assert rows(selection.select_sequences(s, 3, trim_stop=True), "seq") == [("AAAA",), ("CCCAC",)]
